@@ -1,12 +1,15 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from loomgraph.llm import decontaminate, secrets
+from loomgraph.llm import decontaminate, quality, secrets, urls
 
 QUERIES = {
     "op6_secrets": secrets.op6_secrets,
+    "op8_url_filter": urls.op8_url_filter,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op8_url_filter": urls.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
