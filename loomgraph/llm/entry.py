@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from loomgraph.llm import decontaminate, quality, secrets, urls
+from loomgraph.llm import decontaminate, packing, quality, secrets, urls
 
 QUERIES = {
+    "op4_pack": packing.op4_pack,
     "op6_secrets": secrets.op6_secrets,
     "op8_url_filter": urls.op8_url_filter,
     "op9_quality_rules": quality.op9_quality_rules,
