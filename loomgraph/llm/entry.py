@@ -1,16 +1,21 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from loomgraph.llm import decontaminate, packing, quality, secrets, urls
+from loomgraph.llm import chat, decontaminate, packing, quality, secrets, tokencount, urls, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op3_perspectives": chat.op3_perspectives,
     "op4_pack": packing.op4_pack,
     "op6_secrets": secrets.op6_secrets,
+    "op7_token_counts": tokencount.op7_token_counts,
     "op8_url_filter": urls.op8_url_filter,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.SQL,
+    "op3_perspectives": chat.SQL,
     "op8_url_filter": urls.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
