@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from loomgraph.llm import chat, decontaminate, packing, quality, secrets, tokencount, urls, warc
+from loomgraph.llm import chat, decontaminate, neardup, packing, quality, secrets, tokencount, urls, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_perspectives": chat.op3_perspectives,
     "op4_pack": packing.op4_pack,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_secrets": secrets.op6_secrets,
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_url_filter": urls.op8_url_filter,
