@@ -45,45 +45,54 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes the bytes of each Latin-1 character: printable bytes as they are, others from 256 on."""
+    shown = {b for a, z in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)) for b in range(a, z + 1)}
+    rest = iter(range(256, 512))
+    letters = {b: chr(b if b in shown else next(rest)) for b in range(256)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
+
+class Known(dict):
+    """Ids of chunks, found out when first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, chunk):
+        self[chunk] = out = self.find(chunk)
+        return out
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across it, so chunks between white space
     are encoded one by one and remembered."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 65_536
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk, from one call: a token belongs to the chunk that its offset lies in."""
-        e = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        ids = np.array(e.ids, self.kind)
-        ends = np.cumsum([len(c) + 1 for c in chunks])
-        cuts = np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(ids)), ends).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)]
-
-    def learn(self, chunks: list[str]) -> None:
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 65_536 else "<u2")
+        self.known, self.words, self.marks = Known(self.chunk), Known(self.word), Known(self.encode)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def word(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], self.kind).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
         """A chunk of plain letters and marks after them is its small-letter word and its marks, which recur more often than it."""
-        parts = {c: (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c, "") for c in chunks}
-        new = list({x for p in parts.values() for x in p if x not in self.words})
-        for i in range(0, len(new), 4096):
-            self.words.update(zip(new[i : i + 4096], self.encode(new[i : i + 4096])))
-        words = self.words
-        self.known.update((c, words[w] + words[marks]) for c, (w, marks) in parts.items())
+        m = PLAIN.fullmatch(chunk)
+        if not m:
+            return self.encode(chunk)
+        return self.words[m[1].lower()] + self.marks[m[2]] if m[2] else self.words[m[1].lower()]
 
     def ids(self, text: str) -> np.ndarray:
-        chunks, known = BREAKS.split(text), self.known
-        missing = list({c for c in chunks if c not in known})
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list(set(chunks))
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if missing:
-            self.learn(missing)
-        return np.frombuffer(b"".join([known[c] for c in chunks]), self.kind)
+        for held, most in ((self.known, REMEMBERED), (self.words, 2 * REMEMBERED), (self.marks, REMEMBERED)):
+            if len(held) > most:
+                held.clear()
+        chunks = BREAKS.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), self.kind)
 
 
 class Packer:
