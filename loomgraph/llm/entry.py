@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from loomgraph.llm import chat, decontaminate, neardup, packing, quality, secrets, tokencount, urls, warc
+from loomgraph.llm import chat, decontaminate, neardup, packing, quality, repeats, secrets, tokencount, urls, warc
 
 QUERIES = {
+    "op1_suffix_dedup": repeats.op1_suffix_dedup,
     "op2_warc": warc.op2_warc,
     "op3_perspectives": chat.op3_perspectives,
     "op4_pack": packing.op4_pack,
