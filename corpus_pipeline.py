@@ -1,10 +1,55 @@
-"""The corpus pipeline (placeholder until its stages stand)."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, secrets, packing.
 
-from loomgraph.llm import secrets
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns a DataFrame that is written
+as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
-STAGES = [("secrets", lambda spark, docs, sf_dir: secrets.redact_secrets(docs))]
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.llm import decontaminate, neardup, packing, quality, secrets
+from loomgraph.llm.common import durable, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are outliers go."""
+    return quality.keep_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out."""
+    return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return secrets.redact_secrets(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("packing", pack),
+]
+
+#: Banded alignment and tokenisation have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, for the table documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -153,24 +153,23 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: floa
     Rows with no hit are untouched; all columns stay, n_chars (where there is one) follows the new text.
     """
     names = docs.columns
-    extra = [c for c in names if c not in ("doc_id", "text")]
-    out = scan_documents(docs, benchmark, extra=extra)
+    found = scan_documents(docs, benchmark, extra=[c for c in names if c not in ("doc_id", "text")])
     hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"])
-    out = out.where(~(hit > F.lit(drop_share) * F.col("n_words")) | (hit == 0))
+    found = found.where((hit == 0) | (hit <= F.lit(drop_share) * F.col("n_words")))
 
     def cut(it):
         for batch in it:
+            column = batch.column("text")
             texts = [
-                removed_words(t or b"", [(x["s"], x["e"]) for x in s]).decode("utf-8", "replace") if s else (None if t is None else t.decode("utf-8", "replace"))
-                for t, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist())
+                removed_words(t, [(x["s"], x["e"]) for x in s]).decode("utf-8", "replace") if s else t.decode("utf-8", "replace") if t is not None else None
+                for t, s in zip(column.cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "cut_text"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(texts, column.type) if n == "text" else c for n, c in zip(batch.schema.names[:-1], batch.columns)], pa.array([bool(s) for s in batch.column("spans").to_pylist()])], names=[*batch.schema.names[:-1], "was_cut"])
 
-    clean, dirty = out.where(F.size("spans") == 0), out.where(F.size("spans") > 0)
-    cut_rows = dirty.mapInArrow(cut, out.withColumn("cut_text", F.lit("")).schema).withColumn("text", F.col("cut_text"))
+    out = found.select(*names, "spans").mapInArrow(cut, found.select(*names).withColumn("was_cut", F.lit(True)).schema)
     if "n_chars" in names:
-        cut_rows = cut_rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*names).unionByName(cut_rows.select(*names))
+        out = out.withColumn("n_chars", F.when(F.col("was_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ the minimum-covariance-determinant estimate of that vector is found by concentra
 give distances again, and so on. Texts whose Mahalanobis distance exceeds a chi-square limit are rejected.
 
 Scale: the texts are read once, into a narrow table of counts; every step aggregates that table by group with partial
-sums. The order statistics come from a histogram of bounded size per group, never from a sorted group. Sums are exact
+sums; texts never move. The order statistics come from a histogram of bounded size per group, never from a sorted group. Sums are exact
 decimals, so results don't depend on the order of rows.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; null languages and sources
@@ -75,11 +75,10 @@ def judged(counts: DataFrame) -> DataFrame:
     ).withColumns({k: F.floor(v * UNIT + 0.5).cast("long") for k, v in x.items()})
 
 
-def pooled(rows: DataFrame) -> DataFrame:
-    """Small groups get the shared key ''."""
-    sizes = rows.where(~F.col("base_failed")).groupBy("group_").agg(F.count("*").alias("size_"))
-    out = rows.join(sizes, "group_", "left").withColumn("group_", F.when(F.col("size_") >= MIN_GROUP, F.col("group_")).otherwise(F.lit("")))
-    return out.drop("size_")
+def pooled(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Groups that aren't among the large ones get the shared key ''."""
+    out = rows.join(large.withColumn("large_", F.lit(True)), "group_", "left")
+    return out.withColumn("group_", F.when(F.col("large_"), F.col("group_")).otherwise(F.lit(""))).drop("large_")
 
 
 def quantiles(rows: DataFrame, values: dict[str, tuple[Column, float]], width: int) -> DataFrame:
@@ -130,8 +129,9 @@ def distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
 
 def outliers(counts: DataFrame) -> DataFrame:
     """counts (a durable table with text counts, lang, source) with base_failed, d2 and kept."""
-    rows = durable(pooled(judged(counts)), "vectors")
-    fit_on = rows.where(~F.col("base_failed")).select("group_", "n_words", *FEATURES)
+    vectors = durable(judged(counts).where("NOT base_failed").select("group_", "n_words", *FEATURES), "vectors")
+    large = durable(vectors.groupBy("group_").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("group_"), "groups")
+    fit_on = pooled(vectors, large)
     med = quantiles(fit_on, {f"q_{f}": (F.col(f), 0.5) for f in FEATURES}, UNIT // 512)
     dev = fit_on.join(med, "group_")
     mad = quantiles(dev, {f"a_{f}": (F.abs(F.col(f) - F.col(f"q_{f}")), 0.5) for f in FEATURES}, UNIT // 512)
@@ -145,7 +145,7 @@ def outliers(counts: DataFrame) -> DataFrame:
         fit = durable(moments(subset), f"fit{step}")
         if step + 1 < STEPS:
             scored = distances(fit_on, fit).select("group_", "n_words", *FEATURES, "d2")
-    out = distances(rows, fit)
+    out = distances(pooled(judged(counts), large), fit)
     small = F.coalesce(F.col("n_") < MIN_GROUP * SUBSET / 2, F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & (small | ~F.coalesce(F.col("d2") > LIMIT, F.lit(False)))).drop("n_", "group_", *FEATURES)
 
