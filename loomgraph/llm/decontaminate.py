@@ -152,8 +152,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: floa
 
     Rows with no hit are untouched; all columns stay, n_chars (where there is one) follows the new text.
     """
-    names = docs.columns
-    found = scan_documents(docs, benchmark, extra=[c for c in names if c not in ("doc_id", "text")])
+    free = {c: c if c in ("doc_id", "text") else f"in_{c}" for c in docs.columns}  # no clash with what the scan adds
+    names, plain = list(free.values()), docs.columns
+    found = scan_documents(docs.toDF(*names), benchmark, extra=[c for c in names if c not in ("doc_id", "text")])
     hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"])
     found = found.where((hit == 0) | (hit <= F.lit(drop_share) * F.col("n_words")))
 
@@ -167,9 +168,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: floa
             yield pa.RecordBatch.from_arrays([*[pa.array(texts, column.type) if n == "text" else c for n, c in zip(batch.schema.names[:-1], batch.columns)], pa.array([bool(s) for s in batch.column("spans").to_pylist()])], names=[*batch.schema.names[:-1], "was_cut"])
 
     out = found.select(*names, "spans").mapInArrow(cut, found.select(*names).withColumn("was_cut", F.lit(True)).schema)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("was_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    if "n_chars" in plain:
+        out = out.withColumn("in_n_chars", F.when(F.col("was_cut"), F.length("text")).otherwise(F.col("in_n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names).toDF(*plain)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,11 +152,9 @@ def outliers(counts: DataFrame) -> DataFrame:
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, all columns untouched. One row is judged once however often its doc_id stands there."""
-    names = docs.columns
-    free = lambda c: c if c in ("doc_id", "text", "lang", "source") else f"in_{c}"  # noqa: E731  no clash with the counts
-    rows = docs.select(*[F.col(f"`{c}`").alias(free(c)) for c in names])
-    out = outliers(durable(counted(rows), "counts"))
-    return out.where("kept").select(*[F.col(f"`{free(c)}`").alias(c) for c in names])
+    free = {c: c if c in ("doc_id", "text", "lang", "source") else f"in_{c}" for c in docs.columns}  # no clash with the counts
+    out = outliers(durable(counted(docs.toDF(*free.values())), "counts"))
+    return out.where("kept").select(*free.values()).toDF(*docs.columns)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
