@@ -6,9 +6,10 @@ band only if they share k-mers in the same order: collisions follow edit similar
 candidates; a banded alignment of their words must then show an edit similarity of at least 0.8.
 
 Scale: equal texts are one node from the start (a sum by digest), so copies cost one row each. A bucket never makes
-pairs: its members are held against one leader, and those that fail form smaller buckets with one more shared band,
-again and again until none is left, so a bucket of any size costs rows in proportion. Texts of candidates
-alone move, once. Classes are connected components of the proven links, found by alternating star contractions whose
+pairs: its members are held against one leader; those that fail, and that no other link has put into the leader's class,
+are dealt out by every second band that they share and held against the leaders there. So a bucket of any size costs
+rows in proportion, and two texts are compared if one of them, or a link of theirs, leads any of their buckets. Texts of
+candidates alone move, once. Classes are connected components of the proven links, found by alternating star contractions whose
 rounds are written tables. Nothing of the corpus comes to the driver but counts.
 
 Defined results: null and empty texts are copies of one another; texts of one to four words have one shingle, all of
@@ -17,6 +18,8 @@ a null doc_id has its text's class, which is null if no row of the class has an
 columns are ignored.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,8 +34,8 @@ WORD_FACTORS = RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 BAND_FACTORS = RNG.integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 BAND_SALTS = RNG.integers(1, 2**63, BANDS, dtype=np.uint64)
 MOST = np.uint64(2**64 - 1)
-#: Positions hashed at once; cells of an alignment table held at once.
-CHUNK, CELLS = 1 << 16, 1 << 22
+#: Positions hashed at once.
+CHUNK = 1 << 16
 REMEMBERED = 500_000
 
 
@@ -46,13 +49,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class Hashes(dict):
+    """64-bit hashes of words, found when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = worker_cache("neardup.words", dict)
+    known = worker_cache("neardup.words", Hashes)
     if len(known) > REMEMBERED:
         known.clear()
-    for w in {w for w in words if w not in known}:
-        known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter((known[w] for w in words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def labelled(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -79,18 +88,22 @@ def bands_of(text: bytes, bands: int = BANDS, sampled: int = SAMPLED) -> list[in
     if not words:
         return []
     keys = labelled(word_hashes(words))
-    values, places = np.full((bands, sampled), MOST), np.zeros((bands, sampled), np.int64)
+    values, places = [], []
+    rows = np.arange(bands)
     for at in range(0, len(keys), CHUNK):
         v = keys[None, at : at + CHUNK] * BAND_FACTORS[:bands, None]
-        rows = np.arange(bands)
         for _ in range(min(sampled, v.shape[1])):
             i = v.argmin(axis=1)
-            values, places = np.c_[values, v[rows, i]], np.c_[places, i + at]
+            values.append(v[rows, i])
+            places.append(i + at)
             v[rows, i] = MOST
-        best = np.argsort(values, axis=1, kind="stable")[:, :sampled]
-        values, places = np.take_along_axis(values, best, 1), np.take_along_axis(places, best, 1)
+    places = np.array(places)
+    if len(places) > sampled:  # of several chunks
+        best = np.argsort(np.array(values), axis=0, kind="stable")[:sampled]
+        places = np.take_along_axis(places, best, 0)
+    places.sort(axis=0)
     out = BAND_SALTS[:bands].copy()
-    for i in np.sort(places[:, : len(keys)], axis=1).T:
+    for i in places:
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + keys[i])
     return out.view(np.int64).tolist()
 
@@ -98,88 +111,69 @@ def bands_of(text: bytes, bands: int = BANDS, sampled: int = SAMPLED) -> list[in
 # ---- alignment
 
 
-def numbered(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    ids: dict[bytes, int] = {}
-    return tuple(np.fromiter((ids.setdefault(w, len(ids)) for w in x), np.int64, len(x)) for x in (a, b))
-
-
-def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+def edit_distance(a: list[bytes], b: list[bytes], limit: int) -> int:
     """Edit distance of two word sequences if it is at most limit, else limit + 1. The band widens until it is enough."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    short = min(len(a), len(b))
-    same = a[:short] == b[:short]
-    head = short if same.all() else int(same.argmin())
-    a, b = a[head:], b[head:]
-    short = min(len(a), len(b))
-    same = a[len(a) - short :] == b[len(b) - short :]
-    tail = short if same.all() else int(same[::-1].argmin())
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
-        return min(max(len(a), len(b)), limit + 1)
-    n = int(max(a.max(), b.max())) + 1
-    more = np.bincount(a, minlength=n) - np.bincount(b, minlength=n)
-    if max(more[more > 0].sum(), -more[more < 0].sum()) > limit:  # words that have no partner at all
-        return limit + 1
-    width = max(8, abs(len(a) - len(b)))
+    head, short = 0, min(len(a), len(b))
+    while head < short and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < short - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return min(len(a) + len(b), limit + 1)
+    more = Counter(a)
+    more.subtract(b)
+    if max(sum(n for n in more.values() if n > 0), -sum(n for n in more.values() if n < 0)) > limit:
+        return limit + 1  # words that have no partner at all
+    places: dict[bytes, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    width = max(64, abs(len(a) - len(b)))
     while True:
         width = min(width, limit)
-        d = by_diagonals(a, b, width) if (2 * width + 1) * len(a) <= CELLS else by_rows(a, b, width)
+        d = banded(len(a), places, b, width)
         if d <= width or width == limit:
             return min(d, limit + 1)
         width *= 4
 
 
-def by_diagonals(a: np.ndarray, b: np.ndarray, width: int) -> int:
-    """The furthest place on each diagonal of the band after each number of edits; width + 1 if the band isn't enough."""
-    n, m = len(a), len(b)
-    k = np.arange(-width, width + 1)
-    j = np.arange(n)[None, :] + k[:, None]
-    same = (j >= 0) & (j < m) & (a[None, :] == b[np.clip(j, 0, m - 1)])
-    stop = np.full((len(k), n + 1), n)
-    stop[:, :n] = np.where(same, n, np.arange(n)[None, :])
-    stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]  # the next place that differs
-    most, rows = np.minimum(n, m - k), np.arange(len(k))
-    far = np.full(len(k), -(1 << 40))
-    far[width] = stop[width, 0]
-    goal = m - n + width
-    for d in range(width + 1):
-        if d:
-            up = far + 1
-            up[1:] = np.maximum(up[1:], far[:-1])
-            up[:-1] = np.maximum(up[:-1], far[1:] + 1)
-            reached = np.minimum(up, most)
-            reached[(reached < 0) | (reached + k < 0)] = -(1 << 40)
-            far = np.where(reached >= 0, stop[rows, np.maximum(reached, 0)], reached)
-            far = np.where(reached >= 0, np.minimum(far, most), far)
-        if far[goal] >= n:
-            return d
-    return width + 1
-
-
-def by_rows(a: np.ndarray, b: np.ndarray, width: int) -> int:
-    """The same row by row, in memory of the band's width."""
-    n, m = len(a), len(b)
-    k = np.arange(-width, width + 1)
-    far = n + m + 1
-    row = np.where(k >= 0, np.minimum(k, far), far)  # costs of (0, k)
-    for i in range(1, n + 1):
-        j = i + k
-        differs = np.ones(len(k), np.int64)
-        inside = (j >= 1) & (j <= m)
-        differs[inside] = a[i - 1] != b[j[inside] - 1]
-        new = np.minimum(row + differs, np.r_[row[1:], far] + 1)
-        new[(j < 0) | (j > m)] = far
-        if 0 <= -i + width < len(k):
-            new[width - i] = i
-        row = np.minimum(np.minimum.accumulate(new - k) + k, far)
-        row[(j < 0) | (j > m)] = far
-    return int(min(row[m - n + width], width + 1))
+def banded(m: int, places: dict[bytes, int], b: list[bytes], width: int) -> int:
+    """Edit distance of m words (their places as bits) and b by paths at most `width` off the diagonal, or more than width.
+
+    Bit-parallel columns (Myers 1999): bit k of column j is row j - width + k; `up` and `down` are the rows whose cost
+    is one more or less than the row's before. Beyond the band costs count as one more than at its edge."""
+    size = 2 * width + 1
+    every, last = (1 << size) - 1, 1 << (size - 1)
+    down = (1 << (width + 1)) - 1
+    up = every ^ down
+    cost = width  # of the lowest row in the band
+    find = places.get
+    for j, w in enumerate(b, 1):
+        shift = j - width - 1
+        same = find(w, 0)
+        same = (same >> shift if shift >= 0 else same << -shift) & every
+        up, down = up >> 1 | last, down >> 1
+        level = ((((same & up) + up) ^ up) | same | down) & every
+        right = down | (every ^ (level | up))
+        left = level & up
+        if not level & last:
+            cost += 1
+        right = (right << 1 | 1) & every
+        up = (left << 1 & every) | (every ^ (level | right))
+        down = right & level
+    below = len(b) + width - m  # rows between the last word of a and the band's lowest row
+    if below:
+        lower = ((1 << below) - 1) << (size - below)
+        cost += (down & lower).bit_count() - (up & lower).bit_count()
+    return cost
 
 
 def similar(a: list[bytes], b: list[bytes], similarity: float = SIMILARITY) -> bool:
     limit = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-    return edit_distance(*numbered(a, b), limit) <= limit
+    return edit_distance(a, b, limit) <= limit
 
 
 # ---- links
@@ -201,9 +195,14 @@ def node_of():
 
 
 def led(members: DataFrame) -> DataFrame:
-    """members (key, node) of buckets of two or more, with the bucket's leader (the smallest node)."""
-    leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
-    return members.join(leaders, "key").where("node <> leader")
+    """members (key, last, node, [root]) of buckets of two or more, with the bucket's leader (the smallest node); those
+    that have the leader's root need no proof and are left out."""
+    least = F.min(F.struct("node", "root")) if "root" in members.columns else F.min(F.struct("node", F.col("node").alias("root")))
+    leaders = members.groupBy("key").agg(least.alias("least"), F.max("node").alias("high")).where("least.node <> high")
+    out = members.join(leaders.select("key", F.col("least.node").alias("leader"), F.col("least.root").alias("leader_root")), "key").where("node <> leader")
+    if "root" in members.columns:
+        out = out.where("root <> leader_root")
+    return out.select("key", "last", "node", "leader")
 
 
 def proven(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -223,26 +222,32 @@ def proven(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(b, "node").join(a, "leader").mapInArrow(align, "leader string, node string, ok boolean")
 
 
-def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """leader, node: proven links between different texts. nodes: node, doc_id (of one row that has the text), bands."""
+def linked(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """node, root of every text that a proven link joins to another. nodes: node, doc_id (of one row that has the text),
+    bands."""
     bands = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     members = bands.select(F.xxhash64("band", "value").alias("key"), F.col("band").alias("last"), "node")
     rows = durable(led(members), "buckets")  # key, last, node, leader
     wanted = rows.select("node").unionByName(rows.select(F.col("leader").alias("node"))).distinct().join(nodes.select("node", F.col("doc_id").alias("of")), "node")
     texts = docs.select("doc_id", node_of(), "text").join(wanted.withColumnRenamed("node", "wanted"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("wanted")))
     texts = durable(texts.select("node", "text"), "texts")
-    out = None
-    while True:
-        tested = durable(proven(rows.select("leader", "node").distinct(), texts, similarity), "tested")
-        found = tested.where("ok").select("leader", "node")
-        out = found if out is None else out.unionByName(found)
-        # what failed against its leader meets again where it shares one more band, each set of bands taken once
-        failed = rows.join(tested.where("NOT ok").select("leader", "node"), ["leader", "node"]).select("key", "last", "node")
-        several = failed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-        failed = failed.join(several, "key").join(bands, "node").where("band > last").select(F.xxhash64("key", "band", "value").alias("key"), F.col("band").alias("last"), "node")
-        rows = durable(led(failed), "buckets")
-        if rows.isEmpty():
-            return out.distinct()
+    tested = durable(proven(rows.select("leader", "node").distinct(), texts, similarity), "tested")
+    found = tested.where("ok").select("leader", "node")
+    roots = components(edges_of(found))
+    # what failed against its leader, and isn't in its class by other links, meets again where it shares a second band
+    failed = rows.join(tested.where("NOT ok").select("leader", "node"), ["leader", "node"])
+    failed = failed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    leaders = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+    failed = failed.join(leaders, "leader", "left").where(F.col("root") != F.coalesce("leader_root", "leader")).select("key", "last", "node", "root")
+    several = failed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    failed = failed.join(several, "key").join(bands, "node").where("band > last").select(F.xxhash64("key", "band", "value").alias("key"), F.col("band").alias("last"), "node", "root")
+    again = durable(led(failed).select("leader", "node").distinct().join(tested.select("leader", "node"), ["leader", "node"], "left_anti"), "buckets")
+    later = durable(proven(again, texts, similarity), "tested").where("ok").select("leader", "node")
+    return roots if later.isEmpty() else components(edges_of(found.unionByName(later)))
+
+
+def edges_of(found: DataFrame) -> DataFrame:
+    return found.select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,7 +273,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = durable(star(star(now, True), False), "edges")
         new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 20))).first()
         if new == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return durable(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
         mark = new
 
 
@@ -276,8 +281,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, node, class_id (the smallest doc_id of the class) for every row of docs."""
     rows = durable(sketched(docs), "sketches")
     nodes = durable(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
-    found = links(nodes, docs, similarity)
-    roots = components(found.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    roots = linked(nodes, docs, similarity)
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = durable(named.join(ids, "root").select("node", "class_id"), "classes")
@@ -289,7 +293,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     that repeat the smallest doc_id one stays."""
     held = durable(classes(docs.select("doc_id", "text"), similarity).distinct(), "held")
     gone = held.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_"), F.col("node").alias("node_"))
-    out = docs.join(gone, (F.col("doc_id") == F.col("gone_")) & (node_of() == F.col("node_")), "left_anti")
+    out = docs.join(gone, (docs["doc_id"] == gone["gone_"]) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == gone["node_"]), "left_anti")
     ids = docs.select("doc_id").where("doc_id IS NOT NULL")
     if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
