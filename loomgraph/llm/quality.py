@@ -6,7 +6,8 @@ the minimum-covariance-determinant estimate of that vector is found by concentra
 give distances again, and so on. Texts whose Mahalanobis distance exceeds a chi-square limit are rejected.
 
 Scale: the texts are read once, into a narrow table of counts; every step aggregates that table by group with partial
-sums; texts never move. The order statistics come from a histogram of bounded size per group, never from a sorted group. Sums are exact
+sums; texts never move. Tables of one row a group are written, so that Spark knows their size and broadcasts them only
+while they are small. The order statistics come from a histogram of bounded size per group, never from a sorted group. Sums are exact
 decimals, so results don't depend on the order of rows.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; null languages and sources
@@ -132,15 +133,15 @@ def outliers(counts: DataFrame) -> DataFrame:
     vectors = durable(judged(counts).where("NOT base_failed").select("group_", "n_words", *FEATURES), "vectors")
     large = durable(vectors.groupBy("group_").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("group_"), "groups")
     fit_on = pooled(vectors, large)
-    med = quantiles(fit_on, {f"q_{f}": (F.col(f), 0.5) for f in FEATURES}, UNIT // 512)
+    med = durable(quantiles(fit_on, {f"q_{f}": (F.col(f), 0.5) for f in FEATURES}, UNIT // 512), "medians")
     dev = fit_on.join(med, "group_")
-    mad = quantiles(dev, {f"a_{f}": (F.abs(F.col(f) - F.col(f"q_{f}")), 0.5) for f in FEATURES}, UNIT // 512)
+    mad = durable(quantiles(dev, {f"a_{f}": (F.abs(F.col(f) - F.col(f"q_{f}")), 0.5) for f in FEATURES}, UNIT // 512), "deviations")
     dev = dev.join(mad, "group_")
     start = sum((F.pow((F.col(f) - F.col(f"q_{f}")) / F.greatest(F.col(f"a_{f}") * 1.4826, F.lit(FLOORS[f][0] * UNIT)), 2) for f in FEATURES), F.lit(0.0))
     scored = dev.select("group_", "n_words", *FEATURES, start.alias("d2"))
     for step in range(STEPS):
         bin_of = F.floor(F.log(F.col("d2") + 1e-3) * BINS).cast("long")
-        cut = quantiles(scored.withColumn("b_", bin_of), {"cut_": (F.col("b_"), SUBSET)}, 1)
+        cut = durable(quantiles(scored.withColumn("b_", bin_of), {"cut_": (F.col("b_"), SUBSET)}, 1), "cuts")
         subset = scored.withColumn("b_", bin_of).join(cut, "group_").where(F.col("b_") <= F.col("cut_"))
         fit = durable(moments(subset), f"fit{step}")
         if step + 1 < STEPS:
