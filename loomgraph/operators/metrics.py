@@ -58,3 +58,8 @@ def ap_symmetric(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 def stamp(ts):
     """YYYY/MM/DD hh:mm:ss."""
     return F.date_format(ts, "yyyy/MM/dd HH:mm:ss")
+
+
+def elapsed(start, end):
+    """Seconds between two timestamps."""
+    return F.unix_micros(end.cast("timestamp")) / 1e6 - F.unix_micros(start.cast("timestamp")) / 1e6

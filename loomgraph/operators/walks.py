@@ -1,6 +1,6 @@
 """Random walks in bulk-synchronous steps, with counter-based random numbers: any step of any walk can be made again.
 
-Paths are rows (walk_id, start, weight, step, node). Every walk takes its steps at once as one join with the edges.
+Paths are rows (walk_id, start, weight, step, node). A step of all walks is one join with the edges.
 """
 
 from pyspark.sql import DataFrame
@@ -31,28 +31,34 @@ def step_table(graph: Graph, weighted: bool) -> DataFrame:
     return slots(graph.edges).select("src", "dst", (F.col("slot") / F.col("degree")).alias("lo"), ((F.col("slot") + 1) / F.col("degree")).alias("hi"))
 
 
-def paths(graph: Graph, start: DataFrame, alpha: float = ALPHA, seed: int = 1, weighted: bool = True, stop_first: bool = True, max_steps: int = MAX_STEPS, every: int = 4) -> DataFrame:
+def paths(graph: Graph, start: DataFrame, alpha: float = ALPHA, seed: int = 1, weighted: bool = True, stop_first: bool = True, max_steps: int = MAX_STEPS, every: int = 8) -> DataFrame:
     """walk_id, start, weight, step, node: every place of every walk. Before each step a walk stops with probability
     alpha (not before the first unless stop_first); a walk that goes on from a dangling vertex ends at -1. Walks that
-    are alive after max_steps end there."""
-    table = step_table(graph, weighted)
-    now = start.select("walk_id", "start", "weight", F.lit(0).alias("step"), F.col("start").alias("node"))
-    made = [now]
+    are alive after max_steps end there.
+
+    A walk is one row with its places in an array, which max_steps bounds, so steps add to the plan by one join; walks
+    that have ended leave it whenever the state is cut."""
+    table = cut(step_table(graph, weighted))
+    now = start.select("walk_id", "start", "weight", F.array("start").alias("path"), F.lit(True).alias("going"))
+    over = []
     for k in range(1, max_steps + 1):
-        going = now.where(F.col("node") != SINK)
+        goes = F.col("going") & (F.element_at("path", -1) != SINK)
         if k > 1 or stop_first:
-            going = going.where(uniform(seed, F.col("walk_id"), F.lit(k), "stop") >= alpha)
-        draw = going.withColumn("u", uniform(seed, F.col("walk_id"), F.lit(k), "move"))
-        fits = (draw["node"] == table["src"]) & (draw["u"] >= table["lo"]) & (draw["u"] < table["hi"])
-        now = draw.join(table, fits, "left").select("walk_id", "start", "weight", F.lit(k).alias("step"), F.coalesce("dst", F.lit(SINK).cast("long")).alias("node"))
-        now = cut(now)
-        made.append(now)
-        if k % every == 0 and now.isEmpty():
-            break
-    out = made[0]
-    for x in made[1:]:
+            goes = goes & (uniform(seed, F.col("walk_id"), F.lit(k), "stop") >= alpha)
+        draw = now.withColumn("going", goes).withColumns({"at": F.when(F.col("going"), F.element_at("path", -1)), "u": uniform(seed, F.col("walk_id"), F.lit(k), "move")})
+        fits = (draw["at"] == table["src"]) & (draw["u"] >= table["lo"]) & (draw["u"] < table["hi"])
+        moved = F.concat("path", F.array(F.coalesce("dst", F.lit(SINK).cast("long"))))
+        now = draw.join(table, fits, "left").select("walk_id", "start", "weight", F.when(F.col("going"), moved).otherwise(F.col("path")).alias("path"), "going")
+        if k % every == 0 or k == max_steps:
+            now = cut(now)
+            over.append(now.where("NOT going"))
+            now = now.where("going")
+            if now.isEmpty():
+                break
+    out = now
+    for x in over:
         out = out.unionByName(x)
-    return out
+    return out.select("walk_id", "start", "weight", F.posexplode("path").alias("step", "node"))
 
 
 def ends(path: DataFrame) -> DataFrame:

@@ -169,13 +169,14 @@ ORACLE = {
     "adjust_top100": R + closed(engine(0.4)) + f"SELECT rk, node, {num('val', '1e9')} AS val FROM top",
     "visible_top10": R + closed(engine(0.0) + CATALOG) + "SELECT rk, node, name FROM (SELECT top.rk, top.node, name FROM top LEFT JOIN names ON id = top.node WHERE top.rk <= 60) WHERE NOT (rk IN (1, 5) OR rk % 5 = 0 AND rk <> 10) AND rk NOT IN (2, 3) ORDER BY rk LIMIT 10",
     "response_json": R + closed(engine(0.0)) + "SELECT '[' || string_agg('{\"id\":' || node || ',\"score\":0.5}', ',' ORDER BY rk) || ']' AS value FROM top WHERE rk <= 20",
+    "console_lines": "WITH " + closed(MOVES) + "SELECT src || ' ' || dst || ' ' || w AS value FROM e UNION ALL SELECT p_partkey || ' ' || (p_size / 2.0::DOUBLE) FROM part",
     "dcg": R + closed(TWO) + f"SELECT {num(GAIN.format(r='bb', k='ra'), '1e9')} AS val FROM ra LEFT JOIN bb ON ra.node = bb.node WHERE ra.rk <= 100",
     "ndcg": R + closed(TWO) + f"SELECT {num('(SELECT ' + GAIN.format(r='bb', k='ra') + ' FROM ra LEFT JOIN bb ON ra.node = bb.node WHERE ra.rk <= 100) / (SELECT ' + GAIN.format(r='bb', k='rb') + ' FROM rb JOIN bb ON rb.node = bb.node WHERE rb.rk <= 100)', '1e9')} AS val",
     "spearman_topk": R + closed(TWO) + f"SELECT {num('corr(CAST(ra.rk AS DOUBLE), CAST(rb.rk AS DOUBLE))', '1e9')} AS val FROM ra JOIN rb USING (node) WHERE ra.rk <= 100",
     "ap_corr": R + closed(TWO) + f"SELECT {num(ap('ra', 'rb'), '1e9')} AS val",
     "ap_corr_compat": R + closed(TWO) + f"SELECT {num(ap('ra', 'rb', True), '1e9')} AS val",
     "ap_symmetric": R + closed(TWO) + f"SELECT {num('(' + ap('ra', 'rb') + ' + ' + ap('rb', 'ra') + ') / 2', '1e9')} AS val",
-    "time_stamps": "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') AS stamp FROM orders",
+    "time_stamps": "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') AS stamp, CAST(floor(epoch(o_orderdate) - epoch(TIMESTAMP '1992-01-01')) AS BIGINT) AS elapsed FROM orders",
     "suggest_prefix": suggest("RE", "name"),
     "suggest_substring": suggest("g #1", "name"),
     "suggest_ja": suggest("brand#1", "coalesce(title_ja, name)"),

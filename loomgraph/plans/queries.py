@@ -8,7 +8,7 @@ from loomgraph.operators.graph import cumulative, directed_by_name, slots
 from loomgraph.operators.iterate import cut
 from loomgraph.plans import fixtures as fx
 from loomgraph.plans.engine import Engine, canonical
-from loomgraph.sources.files import as_json, parse_requests
+from loomgraph.sources.files import as_json, edge_lines, parse_requests, score_lines
 from loomgraph.streaming.requests import latest_wins
 
 K, SEED = 10, 1
@@ -289,6 +289,11 @@ def response_json(spark, d):  # S15 D12
 # ---- measures
 
 
+def console_lines(spark, d):  # S16
+    scores = fx.read(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") / 2).alias("val"))
+    return edge_lines(fx.moves(spark, d)).unionByName(score_lines(scores))
+
+
 def two_rankings(spark, d):
     g = fx.shop(spark, d).persist()
     given = ppr.normalised(fx.sources(spark))
@@ -321,7 +326,7 @@ def ap_symmetric(spark, d):  # M6
 
 
 def time_stamps(spark, d):  # M7
-    return fx.read(spark, d, "orders").select("o_orderkey", metrics.stamp(F.col("o_orderdate")).alias("stamp"))
+    return fx.read(spark, d, "orders").select("o_orderkey", metrics.stamp(F.col("o_orderdate")).alias("stamp"), F.floor(metrics.elapsed(F.lit("1992-01-01").cast("timestamp_ntz"), F.col("o_orderdate"))).alias("elapsed"))
 
 
 # ---- names
@@ -415,7 +420,7 @@ QUERIES = {
         ppr_exact_single, ppr_exact_multi, ppr_exact_unweighted, ppr_blacklist, ppr_dangling, forward_push_rounds, forward_push_unweighted,
         walk_paths, walk_paths_min1, walk_end_nodes, ppr_monte_carlo, fora, fora_full_path,
         pagerank, pagerank_weighted, pagerank_dangling, stationary_alpha0, bfs_hops, shortest_inverse_weight,
-        dot, l2, scale, vec_subtract, vec_normalise, orthogonal_component, cosine, analyze_top100, adjust_top100, visible_top10, response_json,
+        dot, l2, scale, vec_subtract, vec_normalise, orthogonal_component, cosine, analyze_top100, adjust_top100, visible_top10, response_json, console_lines,
         dcg, ndcg, spearman_topk, ap_corr, ap_corr_compat, ap_symmetric, time_stamps,
         suggest_prefix, suggest_substring, suggest_ja, name_lookup, known_names, metadata_join, display_label,
         explain_offline, prompt_text, json_requests, latest_adjust, session_key, slider_clamp,

@@ -101,3 +101,13 @@ def as_json(ranking: DataFrame) -> DataFrame:
     """One row: the array of {id, score} of ranking (rk, node, val), which has at most a hundred rows."""
     item = F.struct("rk", F.struct(F.col("node").alias("id"), F.col("val").alias("score")).alias("x"))
     return ranking.agg(F.to_json(F.transform(F.sort_array(F.collect_list(item)), lambda i: i["x"])).alias("value"))
+
+
+def edge_lines(graph: Graph) -> DataFrame:
+    """value: 'src dst w' for each edge row, for consoles and text files."""
+    return graph.edges.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("w").cast("string")).alias("value"))
+
+
+def score_lines(scores: DataFrame) -> DataFrame:
+    """value: 'node val' for each score."""
+    return scores.select(F.concat_ws(" ", F.col("node").cast("string"), F.col("val").cast("string")).alias("value"))
