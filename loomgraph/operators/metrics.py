@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import SINK
+from loomgraph.operators.ranking import ranks
 
 
 def places(scores: DataFrame, k: int | None = None) -> DataFrame:
-    """node, val, rk: the first k of the ranking."""
-    order = [F.col("val").desc(), F.col("node").asc()]
+    """node, val, rk: the first k of the ranking, or all of it."""
     clean = scores.where(F.col("node") != SINK)
-    clean = clean.orderBy(*order).limit(k) if k else clean
-    return clean.withColumn("rk", F.row_number().over(Window.orderBy(*order)))
+    if not k:
+        return ranks(clean)
+    order = [F.col("val").desc(), F.col("node").asc()]
+    return clean.orderBy(*order).limit(k).withColumn("rk", F.row_number().over(Window.orderBy(*order)))
 
 
 def gain(ranking: DataFrame, relevance: DataFrame) -> DataFrame:

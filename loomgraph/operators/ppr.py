@@ -36,6 +36,11 @@ def out_steps(graph: Graph, weighted: bool = True) -> DataFrame:
     return moves.unionByName(own).unionByName(dangling).unionByName(sink)
 
 
+def kept_steps(graph: Graph, weighted: bool = True) -> DataFrame:
+    """out_steps, dealt out by vertex once and kept: rounds move the state alone. spark.catalog.clearCache() lets go of it."""
+    return out_steps(graph, weighted).repartition("node").persist()
+
+
 def initial(sources: DataFrame) -> DataFrame:
     return sources.select("node", F.lit(0.0).alias("pi"), F.col("val").alias("r"))
 
@@ -56,14 +61,14 @@ def pushed(state: DataFrame, steps: DataFrame, alpha: float, active, kept_share)
 
 def exact(graph: Graph, sources: DataFrame, count: int, alpha: float = ALPHA, weighted: bool = True, flush: bool = True, steps: DataFrame | None = None) -> DataFrame:
     """node, val after count rounds of the fixpoint; what is still on its way is added where it is if flush."""
-    steps = out_steps(graph, weighted) if steps is None else steps
+    steps = kept_steps(graph, weighted) if steps is None else steps
     state, _, _ = rounds(initial(sources), lambda s: pushed(s, steps, alpha, F.lit(True), F.lit(alpha)), count)
     return state.select("node", (F.col("pi") + F.col("r") if flush else F.col("pi")).alias("val")).where("val <> 0")
 
 
 def forward_push(graph: Graph, sources: DataFrame, threshold: float, max_rounds: int, alpha: float = ALPHA, weighted: bool = True, until_done: bool = True) -> DataFrame:
     """node, pi, r: vertices with r > degree * threshold push, dangling ones whenever r > 0, until none does."""
-    steps = out_steps(graph, weighted)
+    steps = kept_steps(graph, weighted)
     active = F.col("r") > F.col("degree") * F.lit(threshold)
     degree = steps.where("dst IS NULL").select("node", "degree")
     idle = lambda old, new: new.join(degree, "node").where(active & (F.col("node") != SINK)).isEmpty()
@@ -91,7 +96,7 @@ def full_path(graph: Graph, sources: DataFrame, walks: int = WALKS, alpha: float
     """node, val: every visit of a walk counts, by push and then walks. The shares sum to 1; with compat the walks'
     starts enter the divisor once more."""
     require_positive(sources)
-    steps = out_steps(graph, weighted)
+    steps = kept_steps(graph, weighted)
     # a vertex hands on when more than degree / alpha of `walks` walkers stand there
     active = (F.col("r") > F.col("degree") * F.lit(1.0 / (alpha * walks))) & (F.col("node") != SINK)
     degree = steps.where("dst IS NULL").select("node", "degree")

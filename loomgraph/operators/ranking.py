@@ -23,14 +23,21 @@ def top_items(scores: DataFrame, item_count: int, k: int = 100) -> DataFrame:
     return best.select(F.row_number().over(Window.orderBy(F.col("val").desc(), F.col("node"))).alias("rk"), "node", "val")
 
 
+def ranks(scores: DataFrame) -> DataFrame:
+    """scores with rk, from 1 over all rows. Rows are counted by magnitude first (some ten thousand at most), so that a
+    task ranks those of one magnitude alone."""
+    size = F.floor(F.log2(F.abs("val")) * 8).cast("long") + 100_000
+    part = F.when(F.col("val") > 0, size).when(F.col("val") < 0, -size).otherwise(F.lit(0).cast("long"))
+    spread = scores.withColumn("part_", part)
+    above = spread.groupBy("part_").agg(F.count("*").alias("n"))
+    above = above.select("part_", F.coalesce(F.sum("n").over(Window.orderBy(F.col("part_").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    w = Window.partitionBy("part_").orderBy(F.col("val").desc(), F.col("node"))
+    return spread.join(above, "part_").withColumn("rk", (F.row_number().over(w) + F.col("before_")).cast("long")).drop("part_", "before_")
+
+
 def rank_of_items(scores: DataFrame, item_count: int) -> DataFrame:
-    """node, rk (from 1) over all items. Items are counted by value first, so that no task sorts them all."""
-    items = scores.where(is_item(F.col("node"), item_count))
-    spread = items.withColumn("part", F.floor(F.log2(F.col("val") + 1e-300) * 8).cast("long"))
-    above = spread.groupBy("part").agg(F.count("*").alias("n"))
-    above = above.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    w = Window.partitionBy("part").orderBy(F.col("val").desc(), F.col("node"))
-    return spread.join(above, "part").select("node", (F.row_number().over(w) + F.col("before")).cast("long").alias("rk"))
+    """node, rk (from 1) over all items."""
+    return ranks(scores.where(is_item(F.col("node"), item_count))).select("node", "rk")
 
 
 def with_titles(ranking: DataFrame, titles: DataFrame, ranks: DataFrame) -> DataFrame:

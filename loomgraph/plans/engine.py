@@ -20,19 +20,16 @@ class Engine:
         if not graph.spec.weighted or graph.spec.item_count is None:
             raise ValueError("the engine needs a weighted graph with items")
         self.graph, self.nodes, self.rounds, self.alpha, self.mode, self.walks = graph, nodes, rounds, alpha, mode, walks
-        self.steps = ppr.out_steps(graph)
+        self.steps = ppr.kept_steps(graph)
         self.popularity = vectors.normalise(degree_share(graph))
+        self.ready = False
         self.sessions: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     def prepare(self) -> "Engine":
-        """Keeps what every request uses; ready afterwards."""
-        self.steps, self.popularity = cut(self.steps.repartition("node")), cut(self.popularity)
+        """Makes what every request uses; ready afterwards."""
+        self.popularity, self.ready = cut(self.popularity), self.steps.count() > 0
         return self
 
-    @property
-    def ready(self) -> bool:
-        return True
-
     def scores(self, sources: DataFrame) -> DataFrame:
         if self.mode == "exact":
             return ppr.exact(self.graph, sources, self.rounds, self.alpha, steps=self.steps)

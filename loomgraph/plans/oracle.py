@@ -112,7 +112,7 @@ o AS (SELECT * FROM a WHERE (SELECT count(*) FROM a) > 10 UNION ALL SELECT * FRO
 
 PAIRS = "pr AS (SELECT range AS src, range + (SELECT np FROM p) AS dst, 7.0::DOUBLE AS w FROM range((SELECT least(np, nc) FROM p, c))), "
 TRANS = f"SELECT src, dst, w, {num('w / sum(w) OVER (PARTITION BY src)')} AS p FROM"
-WANTED = """wi AS (SELECT p_name || ' #' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 3.0 ELSE 1.0 END AS w FROM part WHERE p_partkey % 7 = 0), """
+WANTED = """wi AS (SELECT p_name || ' #' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM part WHERE p_partkey % 7 = 0), """
 LINES = """ln AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN 'analyze' WHEN event_type = 'view' THEN 'adjust' ELSE 'other' END AS type, 'u' || user_id AS userKey, event_id AS first_id, value AS c,
   event_id % 17 = 0 AS blank, event_id % 19 = 0 AS bad FROM events), """
 ROWS = "rr AS (SELECT p_partkey + 1 AS rk, p_name || ' *#' || p_partkey AS name, p_size / 64.0 - 0.25 AS val FROM part WHERE p_partkey < 40), "

@@ -297,7 +297,8 @@ def console_lines(spark, d):  # S16
 def two_rankings(spark, d):
     g = fx.shop(spark, d).persist()
     given = ppr.normalised(fx.sources(spark))
-    return canonical(ppr.exact(g, given, 3)), canonical(ppr.exact(g, given, 20))
+    steps = ppr.kept_steps(g)
+    return cut(canonical(ppr.exact(g, given, 3, steps=steps))), cut(canonical(ppr.exact(g, given, 20, steps=steps)))
 
 
 def dcg(spark, d):  # M1 M2

@@ -123,6 +123,8 @@ def test_vector_algebra(spark):
     assert vectors.dot(vectors.orthogonal(a, vec(spark, {1: 1, 2: 1})), vec(spark, {1: 1, 2: 1})).first()[0] == pytest.approx(0)
     with pytest.raises(Exception, match="zero vector"):
         vectors.normalise(vec(spark, {1: 0})).collect()
+    mixed = {1: 3.0, 2: -1.0, 3: 0.0, 4: 3.0, 5: -1e-9, 6: 1e-9}
+    assert [r["node"] for r in ranking.ranks(vec(spark, mixed)).orderBy("rk").collect()] == [1, 4, 6, 3, 5, 2]
     assert [r["node"] for r in ranking.ranked(vec(spark, {5: 1.0, 3: 1.0, 9: 0.5})).collect()] == [3, 5, 9]
 
 
