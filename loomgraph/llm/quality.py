@@ -1,14 +1,14 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions alone.
 
-Word, symbol, capital, line and repetition counts give every text a vector of transformed shares. For each language and source
-the minimum-covariance-determinant estimate of that vector is found by concentration steps: from robust starts
+Word, symbol, capital, line and repetition counts give every text a vector of transformed shares. For each language and
+source the minimum-covariance-determinant estimate of that vector is found by concentration steps: from robust starts
 (median and median absolute deviation) the half-plus subset of smallest distance gives a mean and a covariance, those
 give distances again, and so on. Texts whose Mahalanobis distance exceeds a chi-square limit are rejected.
 
 Scale: the texts are read once, into a narrow table of counts; every step aggregates that table by group with partial
 sums; texts never move. Tables of one row a group are written, so that Spark knows their size and broadcasts them only
-while they are small. The order statistics come from a histogram of bounded size per group, never from a sorted group. Sums are exact
-decimals, so results don't depend on the order of rows.
+while they are small. The order statistics come from a histogram of bounded size per group, never from a sorted group.
+Sums are exact decimals, so results don't depend on the order of rows.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; null languages and sources
 are groups of their own; groups of fewer than MIN_GROUP judged texts share one pooled estimate; a pool that is still
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import durable, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES, SYMBOLS, UPPER = " \t\n\x0b\x0c\r", "#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS, UPPER = r"[#*$%&|<>]", "[A-Z]"
 REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 
 #: Transformed statistics and the least standard deviation that each is credited with. Counts of a handful of words
@@ -37,19 +37,24 @@ UNIT, BINS = 1 << 20, 24
 
 def counted(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines and n_repeat_words; text is replaced by its working forms."""
-    t = F.coalesce(F.col("text"), F.lit(""))
     w, n = REPEAT_WINDOW, F.size("words_")
-    out = docs.withColumn("text_", t).withColumn("words_", F.regexp_extract_all("text_", F.lit(WORD), F.lit(0)))
+    count = lambda letters: F.regexp_count("text_", F.lit(letters)).cast("long")
+    # the hash of a word and the next, of two pairs, of two fours
+    pairs = lambda c, k: F.zip_with(c, F.slice(c, k + 1, F.size(c)), lambda a, b: F.xxhash64(a, b))
+    out = docs.withColumn("text_", F.coalesce(F.col("text"), F.lit(""))).withColumn("words_", F.regexp_extract_all("text_", F.lit(WORD), F.lit(0)))
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(F.translate("text_", SPACES, "")).cast("long"),
-            "n_upper": (F.length("text_") - F.length(F.translate("text_", UPPER, ""))).cast("long"),
-            "n_symbols": (F.length("text_") - F.length(F.translate("text_", SYMBOLS, ""))).cast("long"),
-            "lines_": F.filter(F.split("text_", "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0),
-            "hashes_": F.when(n >= w, F.transform(F.sequence(F.lit(1), F.greatest(n - (w - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("words_", i, w)))),
+            "word_chars": F.length(F.array_join("words_", "")).cast("long"),
+            "n_upper": count(UPPER),
+            "n_symbols": count(SYMBOLS),
+            "lines_": F.filter(F.split("text_", "\n", -1), lambda x: x.rlike(WORD)),
+            "hashes_": F.when(n >= w, F.transform("words_", lambda x: F.xxhash64(x))),
         }
     )
+    for k in (1, 2, 4):
+        out = out.withColumn("hashes_", pairs("hashes_", k))
+    out = out.withColumn("hashes_", F.slice("hashes_", 1, F.greatest(n - (w - 1), F.lit(0))))
     out = out.withColumns({"n_lines": F.size("lines_").cast("long"), "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long")})
     # only texts that have a repeated window sort their windows
     again = F.size(F.array_distinct("hashes_")) < F.size("hashes_")
