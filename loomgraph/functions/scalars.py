@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How far the slider goes, and the rank of a name that has none.
 LIMIT = 0.9999
 LAST = 2147483647
 
@@ -25,8 +26,12 @@ def year_label(name: Column, year: Column) -> Column:
     return F.when(F.coalesce(year, F.lit(0)) != 0, F.concat(name, F.lit(" ("), year.cast("string"), F.lit(")"))).otherwise(name)
 
 
+#: The characters that get a backslash in Markdown.
+MARKDOWN = r"([\\`*_{}\[\]()#+\-.!|>])"
+
+
 def escape_markdown(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!|<>])", r"\\$1")
+    return F.regexp_replace(text, MARKDOWN, r"\\$1")
 
 
 def four_places(x: Column) -> Column:

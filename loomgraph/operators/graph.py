@@ -144,8 +144,8 @@ def is_item(node, item_count: int):
     return (node >= 0) & (node < item_count)
 
 
-#: Datasets known by name, and whether their graphs are directed.
-DIRECTED = {"dblp": False, "flickr-growth": True, "livejournal": True, "orkut": False, "web-berkstan": True, "youtube-u-growth": False, "test": True, "test_undirected": False}
+#: Datasets known by name, and whether their graphs are directed.
+DIRECTED = {"dblp": False, "flickr-growth": True, "livejournal": False, "orkut": False, "web-berkstan": True, "youtube-u-growth": False, "test": True, "test_undirected": False}
 
 
 def directed_by_name(names: DataFrame) -> DataFrame:

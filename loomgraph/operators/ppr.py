@@ -12,6 +12,7 @@ from loomgraph.operators.graph import SINK, Graph
 from loomgraph.operators.iterate import cut, rounds
 from loomgraph.operators.walks import ends, paths
 
+#: The chance to stop at a vertex, and the walks of a sampled query.
 ALPHA, WALKS = 0.2, 1_000_000
 
 

@@ -117,7 +117,7 @@ LINES = """ln AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN 'a
   event_id % 17 = 0 AS blank, event_id % 19 = 0 AS bad FROM events), """
 ROWS = "rr AS (SELECT p_partkey + 1 AS rk, p_name || ' *#' || p_partkey AS name, p_size / 64.0 - 0.25 AS val FROM part WHERE p_partkey < 40), "
 FOUR = "CASE WHEN {x} < 0 AND floor(abs({x}) * 10000 + 0.5) > 0 THEN '-' ELSE '' END || CAST(CAST(floor(floor(abs({x}) * 10000 + 0.5) / 10000) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(CAST(floor(abs({x}) * 10000 + 0.5) AS BIGINT) % 10000 AS VARCHAR), 4, '0')"
-ESCAPED = r"regexp_replace(name, '([\\`*_{}\[\]()#+\-.!|<>])', '\\\1', 'g')"
+ESCAPED = r"regexp_replace(name, '([\\`*_{}\[\]()#+\-.!|>])', '\\\1', 'g')"
 PUSHED = "r > deg * "
 
 ORACLE = {
