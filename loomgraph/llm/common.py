@@ -1,6 +1,7 @@
 """What the operators share: durable intermediate tables, table access, Arrow helpers."""
 
 import atexit
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -39,11 +40,25 @@ def remove_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and lost executors lose nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch where rows hold whole texts, or two of them.
+TEXT_ROWS = 1000
+
+
+def durable(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut, and lost executors lose nothing.
+
+    texts: Python functions on the way get whole texts, so batches are kept to TEXT_ROWS rows."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    rows = spark.conf.get(BATCH)
+    if texts:
+        spark.conf.set(BATCH, min(int(rows), TEXT_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        if texts:
+            spark.conf.set(BATCH, rows)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +73,25 @@ def worker_cache(key, make):
     return held[key]
 
 
+def settle() -> None:
+    """Hands what a task has freed back to the system; a Python worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def settled(function):
+    """An iterator function for mapInArrow that settles when its partition is done."""
+
+    def run(it):
+        yield from function(it)
+        settle()
+
+    return run
+
+
 def as_bytes(column) -> list:
     """A string or binary Arrow column as bytes; null gives b''."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, durable, table
+from loomgraph.llm.common import as_bytes, durable, settled, table
 
 WINDOW = 10
 #: Windows broadcast at once; each takes about 200 bytes on an executor.
@@ -112,29 +112,41 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bl
     A pass for each block of the benchmark adds its hits to the rows; passes are cut apart by a written table, so that
     one block at a time is in memory.
     """
-    out = docs.select("doc_id", "text", *(extra or [])).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>")})
+    out = with_no_hits(docs.select("doc_id", "text", *(extra or [])))
     for k, block in enumerate(blocks_of(benchmark, size, block_windows)):
         out = one_pass(durable(out, "hits") if k else out, block)
     return out
 
 
+def with_no_hits(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>")})
+
+
+HITS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
+def hits_of(grams: Ngrams, batch: pa.RecordBatch) -> tuple[list, list, list]:
+    """Words, merged spans and items of each text of a batch, with the hits that the batch has from other blocks."""
+    n_words, spans, items = [], [], []
+    for text, had, known in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+        words = words_of(text)
+        s, f = grams.scan(words) if grams.items else ([], set())
+        n_words.append(len(words))
+        spans.append(merged([*s, *((x["s"], x["e"]) for x in had or [])]))
+        items.append(sorted(f | set(known or [])))
+    return n_words, spans, items
+
+
 def one_pass(src: DataFrame, block: Ngrams) -> DataFrame:
     held = src.sparkSession.sparkContext.broadcast(block)
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def scan(it):
-        grams = held.value
         for batch in it:
-            n_words, spans, items = [], [], []
-            for text, had, known in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
-                words = words_of(text)
-                s, f = grams.scan(words) if grams.items else ([], set())
-                n_words.append(len(words))
-                spans.append([{"s": a, "e": b} for a, b in merged([*s, *((x["s"], x["e"]) for x in had or [])])])
-                items.append(sorted(f | set(known or [])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+            n_words, spans, items = hits_of(held.value, batch)
+            told = [[{"s": a, "e": b} for a, b in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(n_words, pa.int64()), pa.array(told, HITS), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
 
-    return src.mapInArrow(scan, src.schema)
+    return src.mapInArrow(settled(scan), src.schema)
 
 
 def removed_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -154,20 +166,24 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: floa
     """
     free = {c: c if c in ("doc_id", "text") else f"in_{c}" for c in docs.columns}  # no clash with what the scan adds
     names, plain = list(free.values()), docs.columns
-    found = scan_documents(docs.toDF(*names), benchmark, extra=[c for c in names if c not in ("doc_id", "text")])
-    hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"])
-    found = found.where((hit == 0) | (hit <= F.lit(drop_share) * F.col("n_words")))
+    found = with_no_hits(docs.toDF(*names))
+    blocks = blocks_of(benchmark, WINDOW, BLOCK_WINDOWS)
+    block = next(blocks)
+    for following in blocks:
+        found, block = durable(one_pass(found, block), "hits"), following
+    held = docs.sparkSession.sparkContext.broadcast(block)
+    out_names = [*names, "was_cut"]
 
     def cut(it):
         for batch in it:
             column = batch.column("text")
-            texts = [
-                removed_words(t, [(x["s"], x["e"]) for x in s]).decode("utf-8", "replace") if s else t.decode("utf-8", "replace") if t is not None else None
-                for t, s in zip(column.cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([*[pa.array(texts, column.type) if n == "text" else c for n, c in zip(batch.schema.names[:-1], batch.columns)], pa.array([bool(s) for s in batch.column("spans").to_pylist()])], names=[*batch.schema.names[:-1], "was_cut"])
+            n_words, spans, _ = hits_of(held.value, batch)
+            texts = [removed_words(t, s) if s else t for t, s in zip(column.cast(pa.binary()).to_pylist(), spans)]
+            stays = [sum(e - s for s, e in x) <= drop_share * n for x, n in zip(spans, n_words)]
+            columns = [pa.array(texts, pa.binary()).cast(column.type) if n == "text" else c for n, c in zip(batch.schema.names, batch.columns[:-3])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(s) for s in spans])], names=out_names).filter(pa.array(stays))
 
-    out = found.select(*names, "spans").mapInArrow(cut, found.select(*names).withColumn("was_cut", F.lit(True)).schema)
+    out = found.mapInArrow(settled(cut), found.select(*names).withColumn("was_cut", F.lit(True)).schema)
     if "n_chars" in plain:
         out = out.withColumn("in_n_chars", F.when(F.col("was_cut"), F.length("text")).otherwise(F.col("in_n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names).toDF(*plain)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, durable, table, worker_cache
+from loomgraph.llm.common import as_bytes, durable, settled, table, worker_cache
 
 SHINGLE, SAMPLED, BANDS, SIMILARITY = 5, 2, 24, 0.8
 RNG = np.random.default_rng(7)
@@ -36,7 +36,7 @@ BAND_SALTS = RNG.integers(1, 2**63, BANDS, dtype=np.uint64)
 MOST = np.uint64(2**64 - 1)
 #: Positions hashed at once.
 CHUNK = 1 << 16
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -185,9 +185,10 @@ def sketched(docs: DataFrame) -> DataFrame:
     def sketch(it):
         for batch in it:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([bands_of(t) for t in as_bytes(batch.column("text"))], pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+        worker_cache("neardup.words", Hashes).clear()  # an idle worker holds nothing
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", node_of(), "text").mapInArrow(sketch, f"doc_id {kind}, node string, bands array<long>")
+    return docs.select("doc_id", node_of(), "text").mapInArrow(settled(sketch), f"doc_id {kind}, node string, bands array<long>")
 
 
 def node_of():
@@ -219,7 +220,7 @@ def proven(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), pa.array(out, pa.bool_())], names=["leader", "node", "ok"])
 
     a, b = texts.select(F.col("node").alias("leader"), F.col("text").alias("text_a")), texts.select("node", F.col("text").alias("text_b"))
-    return pairs.join(b, "node").join(a, "leader").mapInArrow(align, "leader string, node string, ok boolean")
+    return pairs.join(b, "node").join(a, "leader").mapInArrow(settled(align), "leader string, node string, ok boolean")
 
 
 def linked(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -231,7 +232,7 @@ def linked(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     wanted = rows.select("node").unionByName(rows.select(F.col("leader").alias("node"))).distinct().join(nodes.select("node", F.col("doc_id").alias("of")), "node")
     texts = docs.select("doc_id", node_of(), "text").join(wanted.withColumnRenamed("node", "wanted"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("wanted")))
     texts = durable(texts.select("node", "text"), "texts")
-    tested = durable(proven(rows.select("leader", "node").distinct(), texts, similarity), "tested")
+    tested = durable(proven(rows.select("leader", "node").distinct(), texts, similarity), "tested", texts=True)
     found = tested.where("ok").select("leader", "node")
     roots = components(edges_of(found))
     # what failed against its leader, and isn't in its class by other links, meets again where it shares a second band
@@ -242,7 +243,7 @@ def linked(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     several = failed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     failed = failed.join(several, "key").join(bands, "node").where("band > last").select(F.xxhash64("key", "band", "value").alias("key"), F.col("band").alias("last"), "node", "root")
     again = durable(led(failed).select("leader", "node").distinct().join(tested.select("leader", "node"), ["leader", "node"], "left_anti"), "buckets")
-    later = durable(proven(again, texts, similarity), "tested").where("ok").select("leader", "node")
+    later = durable(proven(again, texts, similarity), "tested", texts=True).where("ok").select("leader", "node")
     return roots if later.isEmpty() else components(edges_of(found.unionByName(later)))
 
 
@@ -279,7 +280,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, node, class_id (the smallest doc_id of the class) for every row of docs."""
-    rows = durable(sketched(docs), "sketches")
+    rows = durable(sketched(docs), "sketches", texts=True)
     nodes = durable(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     roots = linked(nodes, docs, similarity)
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from loomgraph.llm.common import as_bytes, table, worker_cache
+from loomgraph.llm.common import as_bytes, settled, table, worker_cache
 
 TIERS = (512, 1024, 2048, 4096)
 CLOSING_ID = 2
@@ -87,6 +87,10 @@ class Encoder:
             return self.encode(chunk)
         return self.words[m[1].lower()] + self.marks[m[2]] if m[2] else self.words[m[1].lower()]
 
+    def forget(self) -> None:
+        for held in (self.known, self.words, self.marks):
+            held.clear()
+
     def ids(self, text: str) -> np.ndarray:
         for held, most in ((self.known, REMEMBERED), (self.words, 2 * REMEMBERED), (self.marks, REMEMBERED)):
             if len(held) > most:
@@ -202,8 +206,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers=TIERS, with_i
         packer.pack(last=True)
         if names:
             yield from made()
+        encoder.forget()  # an idle worker holds the tokenizer alone
 
-    return docs.select("doc_id", "text").mapInArrow(pack, schema)
+    return docs.select("doc_id", "text").mapInArrow(settled(pack), schema)
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, durable, table
+from loomgraph.llm.common import as_bytes, durable, settled, table
 from loomgraph.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -102,7 +102,7 @@ def stretch_rows(docs: DataFrame, common: np.ndarray, length: int = LENGTH) -> D
             if parts:
                 yield rows_of(parts)
 
-    return docs.select("d", "text").mapInArrow(sketch, STRETCH_ROWS)
+    return docs.select("d", "text").mapInArrow(settled(sketch), STRETCH_ROWS)
 
 
 def told_apart(k, r, d, x, n, hot: np.ndarray) -> tuple:
@@ -198,7 +198,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["k", "d", "x", "n", "text"])
 
-    return packed(docs).drop("doc_id").join(asked, "d").mapInArrow(cut, "k long, d long, x int, n int, text binary")
+    return packed(docs).drop("doc_id").join(asked, "d").mapInArrow(settled(cut), "k long, d long, x int, n int, text binary")
 
 
 def window_rows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -217,7 +217,7 @@ def window_rows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             if parts:
                 yield rows_of(parts)
 
-    return texts.select("d", "x", "n", "text").mapInArrow(cut, STRETCH_ROWS)
+    return texts.select("d", "x", "n", "text").mapInArrow(settled(cut), STRETCH_ROWS)
 
 
 # ---- shards
@@ -267,7 +267,7 @@ def sharded(texts: DataFrame, total: int, length: int = LENGTH) -> DataFrame:
             s, e = x[i] + found[:, 1], x[i] + found[:, 2] + length
             yield pa.RecordBatch.from_arrays([pa.array(d[i]), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["d", "s", "e"])
 
-    return texts.repartition(shards, "k").mapInArrow(search, "d long, s int, e int")
+    return texts.repartition(shards, "k").mapInArrow(settled(search), "d long, s int, e int")
 
 
 # ---- the operator
@@ -304,7 +304,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     out = found.where(F.col("what") == REPEAT).select("d", F.col("x").alias("s"), (F.col("x") + F.col("n") + (length - 1)).alias("e"))
     total = whole.agg(F.sum(F.col("n") + length)).first()[0]
     wanted = whole.select("k", "d", "x", "n").unionByName(spread.select(F.lit(None).cast("long").alias("k"), "d", "x", "n"))  # one journey for both
-    texts = durable(texts_of(docs, wanted, length), "texts")
+    texts = durable(texts_of(docs, wanted, length), "texts", texts=True)
     if total:
         out = out.unionByName(sharded(texts.where(F.col("k").isNotNull()), total, length))
     if not spread.isEmpty():
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.int64()] * 3 + [pa.string()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *[pa.array(keeps, pa.binary())] * with_text], names=names)
 
-    return packed(docs).join(by_doc, "d", "left").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return packed(docs).join(by_doc, "d", "left").mapInArrow(settled(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

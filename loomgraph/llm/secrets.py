@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, table, worker_cache
+from loomgraph.llm.common import as_bytes, settled, table, worker_cache
 
 KINDS = ("assign", "access", "hex", "crc")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -89,7 +89,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             spans = [[{"kind": k, "start": s, "end": e} for s, e, k in in_code_points(t, find_secrets(t))] for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "secret_spans"])
 
-    return src.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, secret_spans {SPAN}")
+    return src.mapInArrow(settled(scan), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, secret_spans {SPAN}")
 
 
 def redacted(text: bytes, spans: list[tuple[int, int, str]], mark: bytes = b"[SECRET]") -> bytes:
@@ -111,7 +111,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, column.type) if n == "text" else c for n, c in zip(batch.schema.names, batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = docs.mapInArrow(scan, docs.schema)
+    out = docs.mapInArrow(settled(scan), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -18,7 +18,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.common import as_bytes, table, worker_cache
+from loomgraph.llm.common import as_bytes, settled, table, worker_cache
 
 LEAF = 64
 #: Characters beyond its end that a pre-token's match may have looked at.
@@ -168,7 +168,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str | None =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in zip(*rows)]] if rows else [batch.column("doc_id"), *[pa.array([], pa.int64())] * 5], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+    return docs.select("doc_id", "text").mapInArrow(settled(count), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
