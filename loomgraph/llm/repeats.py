@@ -1,9 +1,9 @@
 """Suffix-array deduplication: every byte covered by a 100-byte string that also starts earlier is removed.
 
 Texts are cut into stretches of windows (100-byte strings) that share an anchor, the smallest hash of the 32-byte
-strings in them; equal windows have equal anchors, so they meet where stretches are dealt out by anchor. Stretches of
-an anchor that no other stretch has can't repeat. Equal stretches are one weighted text. The texts of all anchors that
-occur again go to shards, each of which is suffix-sorted by induction (`suffixes`); permuted common prefixes of 100 or
+strings in them; equal windows have equal anchors, so they meet where stretches are dealt out by anchor. Equal stretches
+are one text, all but the first of which are repeats as a whole. An anchor that has one text alone has no others, as the
+windows of a stretch differ by the anchor's place in them. The texts of all other anchors go to shards, each of which is suffix-sorted by induction (`suffixes`); permuted common prefixes of 100 or
 more bytes join suffixes into groups of equal windows, and all but the earliest window of a group are removed.
 
 Scale: stretches and texts are dealt out by hashes of content, never by document. An anchor with a great many
@@ -131,30 +131,46 @@ REPEAT, FIRST, SPREAD = 0, 1, 2
 
 
 def sifted(rows: DataFrame) -> DataFrame:
-    """what, k, d, x, n: repeats of earlier stretches, and those that have to be compared further."""
+    """what, k, d, x, n: repeats of earlier stretches, and those that have to be compared further: the first of equal
+    ones, where the anchor has different ones too. (Windows of a stretch differ, as the anchor's place in them does; so
+    an anchor whose stretches are all equal has no other repeats than those.)"""
+    names, types = ["what", "k", "d", "x", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def sift(it):
-        held, before = None, None
-        names = ["k", "r", "d", "x", "n", "kind"]
+        before, held = None, None  # the last row's anchor and digest; the last first stretch, and whether it has its predecessor's anchor
         for batch in ended(it):
-            if batch is not None:
-                new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-                held = new if held is None else {c: np.concatenate((held[c], new[c])) for c in names}
-            if held is None or not len(held["k"]):
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "r", "d", "x", "n", "kind")} if batch is not None else None
+            if new is not None and not len(new["k"]):
                 continue
-            last = len(held["k"]) - (batch is not None)  # the last row waits for the next batch
-            k, r = held["k"], held["r"]
-            same_k = np.concatenate(([before is not None and before[0] == k[0]], k[1:] == k[:-1]))
-            same = np.concatenate(([before is not None and before == (k[0], r[0])], (k[1:] == k[:-1]) & (r[1:] == r[:-1])))
-            again = same_k | np.append(same_k[1:], False)
-            what = np.where(same | (held["kind"] == REPEATED), REPEAT, np.where(held["kind"] == COMMON_ANCHOR, SPREAD, np.where(again, FIRST, -1)))[:last]
-            out = np.flatnonzero(what >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(what[out], pa.int32()), *[pa.array(held[c][out], t) for c, t in (("k", pa.int64()), ("d", pa.int64()), ("x", pa.int32()), ("n", pa.int32()))]], names=["what", "k", "d", "x", "n"])
-            if last:
-                before = (k[last - 1], r[last - 1])
-            held = {c: v[last:] for c, v in held.items()}
-
-    return rows.repartition("k").sortWithinPartitions("k", "r", "d", "x").mapInArrow(sift, "what int, k long, d long, x int, n int")
+            out = []
+            if new is not None:
+                known = new["kind"] == REPEATED
+                out.append((REPEAT, {c: v[known] for c, v in new.items()}))
+                new = {c: v[~known] for c, v in new.items()}
+                k, r = new["k"], new["r"]
+                same = np.concatenate(([before == (k[0], r[0])], (k[1:] == k[:-1]) & (r[1:] == r[:-1]))) if len(k) else np.empty(0, bool)
+                out.append((REPEAT, {c: v[same] for c, v in new.items()}))
+                before = (k[-1], r[-1]) if len(k) else before
+                first = {c: v[~same] for c, v in new.items()}
+                if held is not None:
+                    first = {c: np.concatenate((held[0][c], v)) for c, v in first.items()}
+            elif held is not None:
+                first = held[0]
+            else:
+                continue
+            k = first["k"]
+            if len(k):
+                after = np.append(k[1:] == k[:-1], False)
+                again = after | np.concatenate(([held is not None and held[1]], after[:-1]))
+                done = len(k) - (batch is not None)  # the last one waits for the next batch
+                common = first["kind"][:done] == COMMON_ANCHOR
+                out.append((SPREAD, {c: v[:done][common] for c, v in first.items()}))
+                out.append((FIRST, {c: v[:done][again[:done] & ~common] for c, v in first.items()}))
+                held = ({c: v[done:] for c, v in first.items()}, bool(again[-1])) if batch is not None else None
+            columns = [np.concatenate([np.full(len(v["k"]), what) for what, v in out]), *[np.concatenate([v[c] for _, v in out]) for c in names[1:]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return rows.repartition("k").sortWithinPartitions("k", "r", "d", "x").mapInArrow(settled(sift), "what int, k long, d long, x int, n int")
 
 
 def ended(it):
