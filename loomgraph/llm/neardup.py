@@ -5,12 +5,13 @@ labelled k-mers in its own way, takes the SAMPLED smallest and keeps them in tex
 band only if they share k-mers in the same order: collisions follow edit similarity. Texts of a shared band are
 candidates; a banded alignment of their words must then show an edit similarity of at least 0.8.
 
-Scale: equal texts are one node from the start (a sum by digest), so copies cost one row each. A bucket never makes
-pairs: its members are held against one leader; those that fail, and that no other link has put into the leader's class,
-are dealt out by every second band that they share and held against the leaders there. So a bucket of any size costs
-rows in proportion, and two texts are compared if one of them, or a link of theirs, leads any of their buckets. Texts of
-candidates alone move, once. Classes are connected components of the proven links, found by alternating star contractions whose
-rounds are written tables. Nothing of the corpus comes to the driver but counts.
+Scale: equal texts are one node from the start (a sum by digest), so copies cost one row each. A bucket's members are
+held against one leader, and the classes that this proves are found. Where members of a bucket are still in different
+classes, all pairs of them that no bound on the edit distance rules out (lengths, word counts) are aligned: the classes
+are exactly those of all similar pairs that share a band. That last step costs the square of what the leaders left in
+a bucket, in vector operations on word counts; what passes is aligned pair by pair. Texts of candidates alone move, once
+for each step. Classes are connected components of the proven links, found by alternating star contractions whose rounds
+are written tables. Nothing of the corpus comes to the driver but counts.
 
 Defined results: null and empty texts are copies of one another; texts of one to four words have one shingle, all of
 them; texts of any length are sketched and aligned whole; rows that repeat a doc_id belong to the class of their text;
@@ -36,6 +37,8 @@ BAND_SALTS = RNG.integers(1, 2**63, BANDS, dtype=np.uint64)
 MOST = np.uint64(2**64 - 1)
 #: Positions hashed at once.
 CHUNK = 1 << 16
+#: Parts of the word counts that rule pairs out, and rows that are held against each other at once.
+PARTS, GROUP = 256, 2048
 REMEMBERED = 300_000
 
 
@@ -196,14 +199,9 @@ def node_of():
 
 
 def led(members: DataFrame) -> DataFrame:
-    """members (key, last, node, [root]) of buckets of two or more, with the bucket's leader (the smallest node); those
-    that have the leader's root need no proof and are left out."""
-    least = F.min(F.struct("node", "root")) if "root" in members.columns else F.min(F.struct("node", F.col("node").alias("root")))
-    leaders = members.groupBy("key").agg(least.alias("least"), F.max("node").alias("high")).where("least.node <> high")
-    out = members.join(leaders.select("key", F.col("least.node").alias("leader"), F.col("least.root").alias("leader_root")), "key").where("node <> leader")
-    if "root" in members.columns:
-        out = out.where("root <> leader_root")
-    return out.select("key", "last", "node", "leader")
+    """members (key, node) of buckets of two or more, with the bucket's leader (the smallest node)."""
+    leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("high")).where("leader <> high")
+    return members.join(leaders.select("key", "leader"), "key").where("node <> leader").select("key", "node", "leader")
 
 
 def proven(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -227,26 +225,110 @@ def linked(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     """node, root of every text that a proven link joins to another. nodes: node, doc_id (of one row that has the text),
     bands."""
     bands = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    members = bands.select(F.xxhash64("band", "value").alias("key"), F.col("band").alias("last"), "node")
-    rows = durable(led(members), "buckets")  # key, last, node, leader
+    members = bands.select(F.xxhash64("band", "value").alias("key"), "node")
+    rows = durable(led(members), "buckets")  # key, node, leader
     wanted = rows.select("node").unionByName(rows.select(F.col("leader").alias("node"))).distinct().join(nodes.select("node", F.col("doc_id").alias("of")), "node")
     texts = docs.select("doc_id", node_of(), "text").join(wanted.withColumnRenamed("node", "wanted"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("wanted")))
     texts = durable(texts.select("node", "text"), "texts")
     tested = durable(proven(rows.select("leader", "node").distinct(), texts, similarity), "tested", texts=True)
     found = tested.where("ok").select("leader", "node")
     roots = components(edges_of(found))
-    # what failed against its leader, and isn't in its class by other links, meets again where it shares a second band
-    failed = rows.join(tested.where("NOT ok").select("leader", "node"), ["leader", "node"])
-    failed = failed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    leaders = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
-    failed = failed.join(leaders, "leader", "left").where(F.col("root") != F.coalesce("leader_root", "leader")).select("key", "last", "node", "root")
-    several = failed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    failed = failed.join(several, "key").join(bands, "node").where("band > last").select(F.xxhash64("key", "band", "value").alias("key"), F.col("band").alias("last"), "node", "root")
-    again = durable(led(failed).select("leader", "node").distinct().join(tested.select("leader", "node"), ["leader", "node"], "left_anti"), "buckets")
+    # whatever the leaders left in different classes is held against each other, all pairs of the bucket
+    open_ = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    again = durable(near(durable(open_.join(several, "key"), "open"), texts, similarity), "pairs")
+    if again.isEmpty():
+        return roots
+    again = again.distinct().join(tested.select("leader", "node"), ["leader", "node"], "left_anti")
     later = durable(proven(again, texts, similarity), "tested", texts=True).where("ok").select("leader", "node")
     return roots if later.isEmpty() else components(edges_of(found.unionByName(later)))
 
 
+def profile(text: bytes) -> tuple[int, bytes]:
+    """Number of words, and of the words by hash in PARTS parts (255 at most)."""
+    h = word_hashes(words_of(text))
+    return len(h), np.minimum(np.bincount((h >> np.uint64(32)).astype(np.int64) % PARTS, minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
+def near(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """leader, node of all pairs of members (key, node, root) of one bucket and different roots but those whose lengths
+    or word counts rule the similarity out: each word too many on a side is an edit.
+
+    Texts of one bucket meet by length: those whose similarity allows it are in the same length class or the next. Groups
+    of more than GROUP rows are dealt out as pairs of blocks."""
+
+    def profiled(it):
+        for batch in it:
+            made = [profile(t) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([n for n, _ in made], pa.int64()), pa.array([c for _, c in made], pa.binary())], names=["node", "n", "counts"])
+        worker_cache("neardup.words", Hashes).clear()
+
+    wanted = members.select("node").distinct()
+    profiles = durable(texts.join(wanted, "node", "left_semi").mapInArrow(settled(profiled), "node string, n long, counts binary"), "profiles", texts=True)
+    width = float(-np.log(max(similarity, 1e-3)) * 1.0001 + 1e-4)
+    sized = members.join(profiles.select("node", "n"), "node").withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / width))
+    sized = sized.withColumn("class", F.explode(F.array("class", F.col("class") + 1))).withColumn("own", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / width) == F.col("class")).drop("n")
+    total = sized.groupBy("key", "class").agg(F.ceil(F.count("*") / GROUP).alias("blocks"), F.max("own").alias("any"), F.min("root").alias("low"), F.max("root").alias("high")).where("any AND low <> high")
+    dealt = sized.join(total.select("key", "class", "blocks"), ["key", "class"]).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("first"), "own", "node", "root")
+    dealt = dealt.join(profiles, "node").withColumn("group", F.xxhash64("key", "class", "i", "j"))
+
+    def compare(it):
+        held, last = [], None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            groups = batch.column("group").to_numpy()
+            ends = np.flatnonzero(np.r_[groups[1:] != groups[:-1], True]) + 1
+            at = 0
+            for end in ends.tolist():
+                if held and groups[at] != last:
+                    yield pairs_within(held, similarity)
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last, at = groups[at], end
+        if held:
+            yield pairs_within(held, similarity)
+
+    dealt = dealt.select("group", "i", "j", "first", "own", "node", "root", "n", "counts").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(settled(compare), "leader string, node string")
+
+
+def pairs_within(held: list[pa.RecordBatch], similarity: float) -> pa.RecordBatch:
+    """leader, node of the pairs of one group that `near` can't rule out."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    n = t.column("n").to_numpy()
+    order = np.argsort(n, kind="stable")
+    n = n[order]
+    nodes = t.column("node").to_pylist()
+    own = t.column("own").to_numpy()[order]
+    first = t.column("first").to_numpy()[order]
+    one_block = t.column("i")[0] == t.column("j")[0]
+    roots = np.unique(np.array(t.column("root").to_pylist()), return_inverse=True)[1][order]
+    counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(-1, PARTS)[order].astype(np.int16)
+    rough = counts.reshape(len(counts), 16, -1).sum(axis=2, dtype=np.int32)
+    # of a pair the longer text comes later, and bounds the number of edits
+    limits = np.array([int((1 - similarity) * x + 1e-9) for x in n.tolist()])
+    starts = np.searchsorted(n, n - limits)
+    out_a, out_b = [], []
+    for b in range(1, len(n)):
+        at = np.arange(starts[b], b)
+        at = at[(roots[at] != roots[b]) & (own[at] | own[b])]
+        if not one_block:
+            at = at[first[at] != first[b]]
+        for table_ in (rough, counts):
+            if len(at):
+                more = table_[at] - table_[b]
+                over = np.maximum(more, 0).sum(axis=1)
+                at = at[np.maximum(over, over - more.sum(axis=1)) <= limits[b]]
+        for a in at.tolist():
+            x, y = nodes[order[a]], nodes[order[b]]
+            out_a.append(min(x, y))
+            out_b.append(max(x, y))
+    return pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string())], names=["leader", "node"])
+
+
 def edges_of(found: DataFrame) -> DataFrame:
     return found.select(F.col("leader").alias("a"), F.col("node").alias("b"))
 

@@ -229,6 +229,23 @@ def test_classes(spark, docs, rows, empty):
     assert neardup.keep_one(twice).count() == 1
 
 
+def test_classes_within_boilerplate(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared, texts = [word() for _ in range(210)], {}
+    for k in range(60):  # pairs of 0.84 in a family of 0.7
+        own = [word() for _ in range(90)]
+        mate = list(own)
+        for i in rng.sample(range(90), 48):
+            mate[i] = word()
+        texts[2 * k], texts[2 * k + 1] = " ".join(shared + own), " ".join(shared + mate)
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    expected = {i: i - i % 2 for i in texts}
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()} == expected
+    monkeypatch.setattr(neardup, "GROUP", 7)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()} == expected
+
+
 def test_components_of_chains(spark):
     chain = [(f"{i:03}", f"{i + 1:03}") for i in range(60)] + [("x", "y")]
     random.Random(1).shuffle(chain)
