@@ -1,9 +1,9 @@
-"""Near-duplicates by order min-hash, with banded alignment as proof.
+"""Near-duplicates by min-hash of labelled shingles, with banded alignment as proof.
 
 A text's k-mers are its five-word shingles, each labelled with how often it has occurred so far. Every band hashes the
-labelled k-mers in its own way, takes the SAMPLED smallest and keeps them in text order, so that two texts share a
-band only if they share k-mers in the same order: collisions follow edit similarity. Texts of a shared band are
-candidates; a banded alignment of their words must then show an edit similarity of at least 0.8.
+labelled k-mers in its own way and takes the SAMPLED smallest (in text order, if several). One is enough: scattered edits
+leave a pair at 0.8 a fifth of its shingles, of which two in one band would seldom both be shared. Texts of a shared band
+are candidates; a banded alignment of their words must then show an edit similarity of at least 0.8.
 
 Scale: equal texts are one node from the start (a sum by digest), so copies cost one row each. A bucket's members are
 held against one leader, and the classes that this proves are found. Where members of a bucket are still in different
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import as_bytes, durable, settled, table, worker_cache
 
-SHINGLE, SAMPLED, BANDS, SIMILARITY = 5, 2, 24, 0.8
+SHINGLE, SAMPLED, BANDS, SIMILARITY = 5, 1, 32, 0.8
 RNG = np.random.default_rng(7)
 WORD_FACTORS = RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 BAND_FACTORS = RNG.integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)

@@ -229,6 +229,21 @@ def test_classes(spark, docs, rows, empty):
     assert neardup.keep_one(twice).count() == 1
 
 
+@pytest.mark.parametrize("n", [60, 300])
+def test_bands_of_scattered_edits(n):
+    rng = random.Random(n)
+    for similarity in (0.8, 0.82, 0.85):
+        met = 0
+        for _ in range(150):
+            a = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            b = list(a)
+            for i in rng.sample(range(n), int((1 - similarity) * n + 1e-9)):
+                b[i] = f"v{rng.randrange(10**6)}"
+            x, y = (neardup.bands_of(" ".join(t).encode()) for t in (a, b))
+            met += any(p == q for p, q in zip(x, y))
+        assert met >= 147
+
+
 def test_classes_within_boilerplate(spark, monkeypatch):
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(10**9)}"
