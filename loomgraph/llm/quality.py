@@ -2,8 +2,9 @@
 
 Word, symbol, capital, line and repetition counts give every text a vector of transformed shares. For each language and
 source the minimum-covariance-determinant estimate of that vector is found by concentration steps: from robust starts
-(median and median absolute deviation) the half-plus subset of smallest distance gives a mean and a covariance, those
-give distances again, and so on. Texts whose Mahalanobis distance exceeds a chi-square limit are rejected.
+(sum and largest of the deviations from the medians, and from the lower quartiles) the half-plus subset of smallest
+distance gives a mean and a covariance, those give distances again, until no start's determinant falls; the least
+determinant counts. Texts whose Mahalanobis distance exceeds a chi-square limit are rejected.
 
 Scale: the texts are read once, into a narrow table of counts; every step aggregates that table by group with partial
 sums; texts never move. Tables of one row a group are written, so that Spark knows their size and broadcasts them only
@@ -29,9 +30,11 @@ REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: scatter more: each floor widens by the second figure over the square root of the number of words.
 FEATURES = ("x_length", "x_symbols", "x_upper", "x_lines", "x_repeats")
 FLOORS = {"x_length": (0.04, 0.6), "x_symbols": (0.03, 0.3), "x_upper": (0.06, 0.6), "x_lines": (0.12, 0.6), "x_repeats": (0.12, 0.6)}
-SUBSET, STEPS, MIN_GROUP = 0.75, 3, 200
-#: Chi-square with 5 degrees of freedom: 1e-7 of clean texts lie beyond; and what a subset of 0.75 lacks of the full variance.
-LIMIT, CONSISTENCY = 40.9, 1.55
+MIN_GROUP, STARTS = 200, 3
+#: A fall of the determinant by less than this share is none.
+FALL = 1e-3
+#: Chi-square with 5 degrees of freedom: 1e-7 of clean texts lie beyond; and what a half of all lacks of the full variance.
+LIMIT, CONSISTENCY = 40.9, 1.91
 UNIT, BINS = 1 << 20, 24
 
 
@@ -87,17 +90,18 @@ def pooled(rows: DataFrame, large: DataFrame) -> DataFrame:
     return out.withColumn("group_", F.when(F.col("large_"), F.col("group_")).otherwise(F.lit(""))).drop("large_")
 
 
-def quantiles(rows: DataFrame, values: dict[str, tuple[Column, float]], width: int) -> DataFrame:
-    """Per group and name, the lower edge of the histogram bin (of the whole numbers / width) in which the quantile lies."""
+def quantiles(rows: DataFrame, values: dict[str, tuple[Column, float]], width: int, more: float = 0.0) -> DataFrame:
+    """Per group and name, the lower edge of the histogram bin (of the whole numbers / width) in which the quantile, and
+    `more` rows, lie."""
     long = rows.select("group_", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(v / width).cast("long").alias("bin"), F.lit(q).alias("q")) for k, (v, q) in values.items()])).alias("e")).select("group_", "e.*")
     bins = long.groupBy("group_", "k", "bin").agg(F.count("*").alias("n"), F.first("q").alias("q"))
     w = Window.partitionBy("group_", "k")
     bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
-    return bins.where(F.col("upto") >= F.col("q") * F.col("all")).groupBy("group_", "k").agg((F.min("bin") * width).alias("v")).groupBy("group_").pivot("k", list(values)).agg(F.first("v"))
+    return bins.where(F.col("upto") >= F.least(F.col("q") * F.col("all") + more, F.col("all"))).groupBy("group_", "k").agg((F.min("bin") * width).alias("v")).groupBy("group_").pivot("k", list(values)).agg(F.first("v"))
 
 
 def moments(rows: DataFrame) -> DataFrame:
-    """Per group the mean and the lower Cholesky factor of the floored covariance of the features."""
+    """Per group the mean, the lower Cholesky factor of the floored covariance of the features, and det, its log determinant."""
     d = lambda c: c.cast("decimal(38,0)")
     sums = {f"s{i}": F.sum(d(F.col(f))) for i, f in enumerate(FEATURES)} | {f"s{i}{j}": F.sum(d(F.col(FEATURES[i]) * F.col(FEATURES[j]))) for i in range(len(FEATURES)) for j in range(i + 1)}
     out = rows.groupBy("group_").agg(F.count("*").alias("n_"), *[v.alias(k) for k, v in sums.items()])
@@ -113,7 +117,8 @@ def moments(rows: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("group_", "n_", *[f"m{i}" for i in range(len(FEATURES))], *[f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
+    out = out.withColumn("det", sum((F.log(f"l{i}{i}") for i in range(1, len(FEATURES))), F.log("l00")))
+    return out.select("group_", "n_", "det", *[f"m{i}" for i in range(len(FEATURES))], *[f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
 
 
 def distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
@@ -138,24 +143,42 @@ def outliers(counts: DataFrame) -> DataFrame:
     vectors = durable(judged(counts).where("NOT base_failed").select("group_", "n_words", *FEATURES), "vectors")
     large = durable(vectors.groupBy("group_").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("group_"), "groups")
     fit_on = pooled(vectors, large)
-    med = durable(quantiles(fit_on, {f"q_{f}": (F.col(f), 0.5) for f in FEATURES}, UNIT // 512), "medians")
-    dev = fit_on.join(med, "group_")
-    mad = durable(quantiles(dev, {f"a_{f}": (F.abs(F.col(f) - F.col(f"q_{f}")), 0.5) for f in FEATURES}, UNIT // 512), "deviations")
-    dev = dev.join(mad, "group_")
-    start = sum((F.pow((F.col(f) - F.col(f"q_{f}")) / F.greatest(F.col(f"a_{f}") * 1.4826, F.lit(FLOORS[f][0] * UNIT)), 2) for f in FEATURES), F.lit(0.0))
-    scored = dev.select("group_", "n_words", *FEATURES, start.alias("d2"))
-    for step in range(STEPS):
-        bin_of = F.floor(F.log(F.col("d2") + 1e-3) * BINS).cast("long")
-        cut = durable(quantiles(scored.withColumn("b_", bin_of), {"cut_": (F.col("b_"), SUBSET)}, 1), "cuts")
-        subset = scored.withColumn("b_", bin_of).join(cut, "group_").where(F.col("b_") <= F.col("cut_"))
-        fit = durable(moments(subset), f"fit{step}")
-        if step + 1 < STEPS:
-            scored = distances(fit_on, fit).select("group_", "n_words", *FEATURES, "d2")
-    out = distances(pooled(judged(counts), large), fit)
-    small = F.coalesce(F.col("n_") < MIN_GROUP * SUBSET / 2, F.lit(True))
+    best = durable(estimate(fit_on), "best")
+    out = distances(pooled(judged(counts), large), best.drop("det"))
+    small = F.coalesce(F.col("n_") < MIN_GROUP / 4, F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & (small | ~F.coalesce(F.col("d2") > LIMIT, F.lit(False)))).drop("n_", "group_", *FEATURES)
 
 
+def estimate(rows: DataFrame) -> DataFrame:
+    """Per group the moments of the half-plus subset of least determinant that the starts' concentration steps find."""
+    width = UNIT // 512
+    mid = durable(quantiles(rows, {f"q_{f}": (F.col(f), 0.5) for f in FEATURES} | {f"r_{f}": (F.col(f), 0.25) for f in FEATURES}, width), "medians")
+    dev = rows.join(mid, "group_")
+    mad = durable(quantiles(dev, {f"a_{f}": (F.abs(F.col(f) - F.col(f"q_{f}")), 0.5) for f in FEATURES} | {f"b_{f}": (F.abs(F.col(f) - F.col(f"r_{f}")), 0.5) for f in FEATURES}, width), "deviations")
+    dev = dev.join(mad, "group_")
+    z = lambda at, by: [F.pow((F.col(f) - F.col(f"{at}_{f}")) / F.greatest(F.col(f"{by}_{f}") * 1.4826, F.lit(FLOORS[f][0] * UNIT)), 2) for f in FEATURES]
+    starts = [sum(z("q", "a"), F.lit(0.0)), F.greatest(*z("q", "a")), sum(z("r", "b"), F.lit(0.0))]
+    named = F.concat_ws("\x1d", F.col("start").cast("string"), "group_").alias("group_")
+    dealt = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))).select(named, "n_words", *FEATURES)
+    scored = dev.select("group_", "n_words", *FEATURES, F.posexplode(F.array(*starts)).alias("start", "d2")).select(named, "n_words", *FEATURES, "d2")
+    best = None
+    while True:
+        scored = scored.withColumn("b_", F.floor(F.log(F.col("d2") + 1e-3) * BINS).cast("long"))
+        cut = durable(quantiles(scored, {"cut_": (F.col("b_"), 0.5)}, 1, (len(FEATURES) + 1) / 2), "cuts")
+        fit = durable(moments(scored.join(cut, "group_").where(F.col("b_") <= F.col("cut_"))), "fit")
+        if best is None:
+            best = fit
+        else:
+            fell = fit.join(best.select("group_", F.col("det").alias("had")), "group_").where(F.col("det") < F.col("had") - FALL).drop("had")
+            fell = durable(fell, "fell")
+            if fell.isEmpty():
+                break
+            best = durable(best.join(fell, "group_", "left_anti").unionByName(fell), "best")
+        scored = distances(dealt, fit.drop("det")).select("group_", "n_words", *FEATURES, "d2")
+    best = best.withColumns({"start": F.substring_index("group_", "\x1d", 1), "group_": F.expr("substring(group_, instr(group_, '\x1d') + 1)")})
+    return best.groupBy("group_").agg(F.min_by(F.struct(*[c for c in best.columns if c not in ("group_", "start")]), F.struct("det", "start")).alias("x")).select("group_", "x.*")
+
+
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, all columns untouched. One row is judged once however often its doc_id stands there."""
     free = {c: c if c in ("doc_id", "text", "lang", "source") else f"in_{c}" for c in docs.columns}  # no clash with the counts

@@ -390,6 +390,14 @@ def test_outliers(spark):
     assert sorted(r["doc_id"] for r in quality.keep_quality(frame).collect()) == list(range(len(clean)))
 
 
+def test_outliers_of_a_large_share(spark):
+    rng = random.Random(9)
+    clean = [prose(rng, rng.choice([60, 100, 300])) for _ in range(240)]
+    junk = [" ".join(w.upper() if rng.random() < 0.55 else w for w in prose(rng, 100).split()) for _ in range(160)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(clean + junk)], DOCS)
+    assert sorted(r["doc_id"] for r in quality.keep_quality(frame).collect()) == list(range(len(clean)))
+
+
 # ---- 10
 
 
