@@ -12,8 +12,9 @@ while they are small. The order statistics come from a histogram of bounded size
 Sums are exact decimals, so results don't depend on the order of rows.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; null languages and sources
-are groups of their own; groups of fewer than MIN_GROUP judged texts share one pooled estimate; a pool that is still
-smaller rejects none; repeated rows count as often as they stand there; columns other than doc_id, text, lang and
+are groups of their own; groups of fewer than MIN_GROUP judged texts share one pooled estimate; where the pool is
+smaller too, each is judged by the estimate over its language if that has MIN_GROUP, else over all rows; tables of fewer
+than about 100 judged rows have no estimate and reject none; repeated rows count as often as they stand there; columns other than doc_id, text, lang and
 source pass through untouched.
 """
 
@@ -84,10 +85,19 @@ def judged(counts: DataFrame) -> DataFrame:
     ).withColumns({k: F.floor(v * UNIT + 0.5).cast("long") for k, v in x.items()})
 
 
-def pooled(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """Groups that aren't among the large ones get the shared key ''."""
-    out = rows.join(large.withColumn("large_", F.lit(True)), "group_", "left")
-    return out.withColumn("group_", F.when(F.col("large_"), F.col("group_")).otherwise(F.lit(""))).drop("large_")
+def language() -> Column:
+    return F.concat(F.lit("\x1e"), F.substring_index("group_", "\x1f", 1))
+
+
+def pooled(rows: DataFrame, large: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """Groups that aren't among the large ones get the key of their language, if it is among languages, or the shared key ''."""
+    out = rows.join(large.withColumn("large_", F.lit(True)), "group_", "left").withColumn("language_", language())
+    if languages is not None:
+        out = out.join(languages.withColumn("known_", F.lit(True)), "language_", "left")
+    else:
+        out = out.withColumn("known_", F.lit(None).cast("boolean"))
+    key = F.when(F.col("large_"), F.col("group_")).when(F.col("known_"), F.col("language_")).otherwise(F.lit(""))
+    return out.withColumn("group_", key).drop("large_", "known_", "language_")
 
 
 def quantiles(rows: DataFrame, values: dict[str, tuple[Column, float]], width: int, more: float = 0.0) -> DataFrame:
@@ -142,9 +152,14 @@ def outliers(counts: DataFrame) -> DataFrame:
     """counts (a durable table with text counts, lang, source) with base_failed, d2 and kept."""
     vectors = durable(judged(counts).where("NOT base_failed").select("group_", "n_words", *FEATURES), "vectors")
     large = durable(vectors.groupBy("group_").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("group_"), "groups")
-    fit_on = pooled(vectors, large)
+    fit_on, languages = pooled(vectors, large), None
+    if 0 < vectors.join(large, "group_", "left_anti").count() < MIN_GROUP:  # too few for an estimate of their own
+        languages = durable(vectors.groupBy(language().alias("language_")).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("language_"), "languages")
+        wider = vectors.withColumn("language_", language()).join(languages, "language_").withColumn("group_", F.col("language_")).select(vectors.columns)
+        fit_on = vectors.join(large, "group_", "left_semi").select(vectors.columns).unionByName(wider).unionByName(vectors.withColumn("group_", F.lit("")))
+        fit_on = durable(fit_on, "vectors")
     best = durable(estimate(fit_on), "best")
-    out = distances(pooled(judged(counts), large), best.drop("det"))
+    out = distances(pooled(judged(counts), large, languages), best.drop("det"))
     small = F.coalesce(F.col("n_") < MIN_GROUP / 4, F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & (small | ~F.coalesce(F.col("d2") > LIMIT, F.lit(False)))).drop("n_", "group_", *FEATURES)
 

@@ -398,6 +398,14 @@ def test_outliers_of_a_large_share(spark):
     assert sorted(r["doc_id"] for r in quality.keep_quality(frame).collect()) == list(range(len(clean)))
 
 
+def test_outliers_of_a_rare_group(spark):
+    rng = random.Random(10)
+    clean = [(prose(rng, rng.choice([60, 100, 300])), "en", "s") for _ in range(300)] + [(prose(rng, 90), lang, "rare") for lang in ["en", "de"] * 10]
+    junk = [(prose(rng, 90).upper(), lang, "rare") for lang in ["en", "de"] * 3]
+    frame = spark.createDataFrame([(i, *t, 0) for i, t in enumerate(clean + junk)], DOCS)
+    assert sorted(r["doc_id"] for r in quality.keep_quality(frame).collect()) == list(range(len(clean)))
+
+
 # ---- 10
 
 
