@@ -1,22 +1,25 @@
-"""Near-duplicates by min-hash of labelled shingles, with banded alignment as proof.
-
-A text's k-mers are its five-word shingles, each labelled with how often it has occurred so far. Every band hashes the
-labelled k-mers in its own way and takes the SAMPLED smallest (in text order, if several). One is enough: scattered edits
-leave a pair at 0.8 a fifth of its shingles, of which two in one band would seldom both be shared. Texts of a shared band
-are candidates; a banded alignment of their words must then show an edit similarity of at least 0.8.
-
-Scale: equal texts are one node from the start (a sum by digest), so copies cost one row each. A bucket's members are
-held against one leader, and the classes that this proves are found. Where members of a bucket are still in different
-classes, all pairs of them that no bound on the edit distance rules out (lengths, word counts) are aligned: the classes
-are exactly those of all similar pairs that share a band. That last step costs the square of what the leaders left in
-a bucket, in vector operations on word counts; what passes is aligned pair by pair. Texts of candidates alone move, once
-for each step. Classes are connected components of the proven links, found by alternating star contractions whose rounds
-are written tables. Nothing of the corpus comes to the driver but counts.
+"""Near-duplicates by order min-hash of labelled shingles, with banded alignment as proof.
+
+A text's k-mers are its five-word shingles, each labelled with how often it has occurred so far. Each of FUNCTIONS hashes
+samples the SAMPLED smallest labelled k-mers and keeps them in text order: an ordered sketch, which two texts share if
+they agree in the k-mers and in their order. Texts of a shared ordered sketch are candidates first; a banded alignment of
+their words must then show an edit similarity of at least 0.8. Scattered edits leave a pair at 0.8 a fifth of its
+shingles, of which two in one sketch are seldom both shared; so texts that share any one sampled k-mer are candidates too,
+as far as they aren't in one class by then.
+
+Scale: equal texts are one node from the start (a sum by digest), so copies cost one row each. A bucket of an ordered
+sketch is held against its leader, which takes a row for each member. What shares a single k-mer meets in groups that
+hold at most two blocks of bounded rows and bytes; larger buckets are dealt out by length first (texts of 0.8 are in one
+length class or the next), then as pairs of blocks. A group drops pairs by bounds on their edits (lengths, word counts),
+skips those that another group has, aligns the rest by rising bound, and returns only links between classes, one for two
+classes at most: rows out are in proportion to rows in. So the classes are exactly those of all similar pairs that share
+a k-mer of their samples. Classes are connected components of the links, found by alternating star contractions whose
+rounds are written tables. Nothing of the corpus comes to the driver but counts.
 
 Defined results: null and empty texts are copies of one another; texts of one to four words have one shingle, all of
-them; texts of any length are sketched and aligned whole; rows that repeat a doc_id belong to the class of their text;
-a null doc_id has its text's class, which is null if no row of the class has an id; an empty table gives no rows; other
-columns are ignored.
+them; texts of any length are sketched and aligned whole; rows that repeat a doc_id belong each to the class of their
+text; ties of candidates or hashes never change the classes; a null doc_id has its text's class, which is null if no row
+of the class has an id; an empty table gives no rows; other columns are ignored.
 """
 
 from collections import Counter
@@ -24,21 +27,22 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import as_bytes, durable, settled, table, worker_cache
 
-SHINGLE, SAMPLED, BANDS, SIMILARITY = 5, 1, 32, 0.8
+SHINGLE, SAMPLED, FUNCTIONS, SIMILARITY = 5, 2, 16, 0.8
 RNG = np.random.default_rng(7)
 WORD_FACTORS = RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-BAND_FACTORS = RNG.integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
-BAND_SALTS = RNG.integers(1, 2**63, BANDS, dtype=np.uint64)
+FACTORS = RNG.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
+SALTS = RNG.integers(1, 2**63, FUNCTIONS, dtype=np.uint64)
 MOST = np.uint64(2**64 - 1)
 #: Positions hashed at once.
 CHUNK = 1 << 16
-#: Parts of the word counts that rule pairs out, and rows that are held against each other at once.
-PARTS, GROUP = 256, 2048
+#: Parts of the word counts, and of their parities, that rule pairs out; rows, and bytes of compressed text, of a block.
+PARTS, PARITIES, GROUP, GROUP_BYTES = 256, 1024, 2048, 16 << 20
 REMEMBERED = 300_000
 
 
@@ -85,30 +89,44 @@ def labelled(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return h
 
 
-def bands_of(text: bytes, bands: int = BANDS, sampled: int = SAMPLED) -> list[int]:
-    """Per band a signed 64-bit digest of the sampled smallest labelled k-mers in text order; none without words."""
-    words = words_of(text)
-    if not words:
-        return []
-    keys = labelled(word_hashes(words))
+def sampled_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of labelled k-mers, the ordered sketch of each function, and every sampled k-mer with its function: both as keys
+    that texts can meet by."""
     values, places = [], []
-    rows = np.arange(bands)
+    rows = np.arange(FUNCTIONS)
     for at in range(0, len(keys), CHUNK):
-        v = keys[None, at : at + CHUNK] * BAND_FACTORS[:bands, None]
-        for _ in range(min(sampled, v.shape[1])):
+        v = keys[None, at : at + CHUNK] * FACTORS[:, None]
+        for _ in range(min(SAMPLED, v.shape[1])):
             i = v.argmin(axis=1)
             values.append(v[rows, i])
             places.append(i + at)
             v[rows, i] = MOST
     places = np.array(places)
-    if len(places) > sampled:  # of several chunks
-        best = np.argsort(np.array(values), axis=0, kind="stable")[:sampled]
+    if len(places) > SAMPLED:  # of several chunks
+        best = np.argsort(np.array(values), axis=0, kind="stable")[:SAMPLED]
         places = np.take_along_axis(places, best, 0)
     places.sort(axis=0)
-    out = BAND_SALTS[:bands].copy()
+    ordered = SALTS.copy()
     for i in places:
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + keys[i])
-    return out.view(np.int64).tolist()
+        ordered = mixed(ordered * np.uint64(0x9E3779B97F4A7C15) + keys[i])
+    return ordered.view(np.int64), mixed(keys[places] ^ SALTS).reshape(-1).view(np.int64)
+
+
+def profile(h: np.ndarray) -> bytes:
+    """Of words with these hashes, how many there are in each of PARTS parts (255 at most), then whether their number is
+    odd in each of PARITIES parts."""
+    part = (h >> np.uint64(32)).astype(np.int64)
+    counts = np.minimum(np.bincount(part % PARTS, minlength=PARTS), 255).astype(np.uint8)
+    return counts.tobytes() + np.packbits(np.bincount(part % PARITIES, minlength=PARITIES) & 1).tobytes()
+
+
+def sketch_of(text: bytes) -> tuple[list[int], list[int], int, bytes, bytes]:
+    """Ordered sketches, single k-mers, number of words, their profile, and the words with spaces between; nothing to
+    meet by without words."""
+    words = words_of(text)
+    h = word_hashes(words)
+    ordered, single = sampled_of(labelled(h)) if words else ([], [])
+    return ordered, single, len(words), profile(h), b" ".join(words)
 
 
 # ---- alignment
@@ -183,154 +201,157 @@ def similar(a: list[bytes], b: list[bytes], similarity: float = SIMILARITY) -> b
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the text), bands for every row."""
+    """doc_id, digest (of the text), row (its number), ordered, single, n, counts, z (the words, compressed) for every row."""
+    names = ["doc_id", "digest", "ordered", "single", "n", "counts", "z"]
 
     def sketch(it):
+        tool = zstandard.ZstdCompressor(level=1)
         for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([bands_of(t) for t in as_bytes(batch.column("text"))], pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            made = list(zip(*map(sketch_of, as_bytes(batch.column("text"))))) or [[]] * 5
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+            columns = [pa.array(list(c), k) for c, k in zip(made, kinds)] + [pa.array(map(tool.compress, made[4]), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], names=names)
         worker_cache("neardup.words", Hashes).clear()  # an idle worker holds nothing
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", node_of(), "text").mapInArrow(settled(sketch), f"doc_id {kind}, node string, bands array<long>")
+    out = docs.select("doc_id", digest_of("text").alias("digest"), "text").mapInArrow(settled(sketch), f"doc_id {kind}, digest binary, ordered array<long>, single array<long>, n int, counts binary, z binary")
+    return out.withColumn("row", F.monotonically_increasing_id())
 
 
-def node_of():
-    return F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("node")
+def digest_of(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def led(members: DataFrame) -> DataFrame:
-    """members (key, node) of buckets of two or more, with the bucket's leader (the smallest node)."""
+    """leader, node of all that share a key with others; the leader is a bucket's smallest node."""
     leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("high")).where("leader <> high")
-    return members.join(leaders.select("key", "leader"), "key").where("node <> leader").select("key", "node", "leader")
+    return members.join(leaders.select("key", "leader"), "key").where("node <> leader").select("leader", "node").distinct()
 
 
 def proven(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """leader, node, ok for distinct pairs."""
+    """The pairs (leader, node) that are similar. texts: node, z."""
 
     def align(it):
-        held = (None, None)
+        held, tool = (None, None), zstandard.ZstdDecompressor()
         for batch in it:
             out = []
-            for a, x, y in zip(batch.column("leader").to_pylist(), as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))):
+            for a, x, y in zip(batch.column("leader").to_pylist(), batch.column("z_a").to_pylist(), batch.column("z_b").to_pylist()):
                 if held[0] != a:
-                    held = a, words_of(x)
-                out.append(similar(held[1], words_of(y), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), pa.array(out, pa.bool_())], names=["leader", "node", "ok"])
-
-    a, b = texts.select(F.col("node").alias("leader"), F.col("text").alias("text_a")), texts.select("node", F.col("text").alias("text_b"))
-    return pairs.join(b, "node").join(a, "leader").mapInArrow(settled(align), "leader string, node string, ok boolean")
-
-
-def linked(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node, root of every text that a proven link joins to another. nodes: node, doc_id (of one row that has the text),
-    bands."""
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    members = bands.select(F.xxhash64("band", "value").alias("key"), "node")
-    rows = durable(led(members), "buckets")  # key, node, leader
-    wanted = rows.select("node").unionByName(rows.select(F.col("leader").alias("node"))).distinct().join(nodes.select("node", F.col("doc_id").alias("of")), "node")
-    texts = docs.select("doc_id", node_of(), "text").join(wanted.withColumnRenamed("node", "wanted"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("wanted")))
-    texts = durable(texts.select("node", "text"), "texts")
-    tested = durable(proven(rows.select("leader", "node").distinct(), texts, similarity), "tested", texts=True)
-    found = tested.where("ok").select("leader", "node")
-    roots = components(edges_of(found))
-    # whatever the leaders left in different classes is held against each other, all pairs of the bucket
-    open_ = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    several = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    again = durable(near(durable(open_.join(several, "key"), "open"), texts, similarity), "pairs")
-    if again.isEmpty():
-        return roots
-    again = again.distinct().join(tested.select("leader", "node"), ["leader", "node"], "left_anti")
-    later = durable(proven(again, texts, similarity), "tested", texts=True).where("ok").select("leader", "node")
-    return roots if later.isEmpty() else components(edges_of(found.unionByName(later)))
+                    held = a, tool.decompress(x).split()
+                out.append(similar(held[1], tool.decompress(y).split(), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node")], names=["leader", "node"]).filter(pa.array(out, pa.bool_()))
 
+    a, b = texts.select(F.col("node").alias("leader"), F.col("z").alias("z_a")), texts.select("node", F.col("z").alias("z_b"))
+    return pairs.join(b, "node").join(a, "leader").select("leader", "node", "z_a", "z_b").mapInArrow(settled(align), "leader long, node long")
 
-def profile(text: bytes) -> tuple[int, bytes]:
-    """Number of words, and of the words by hash in PARTS parts (255 at most)."""
-    h = word_hashes(words_of(text))
-    return len(h), np.minimum(np.bincount((h >> np.uint64(32)).astype(np.int64) % PARTS, minlength=PARTS), 255).astype(np.uint8).tobytes()
 
+def linked(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """node, root for every node of texts (node, ordered, single, n, counts, z)."""
+    pairs = durable(led(texts.select("node", F.explode("ordered").alias("key"))), "pairs")
+    roots = components(durable(proven(pairs, texts, similarity), "links", texts=True).select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    # whatever shares a k-mer and is in different classes so far
+    named = texts.select("node", "n", F.length("z").alias("size"), "single").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = named.select(F.explode("single").alias("key"), "node", "root", "n", "size")
+    several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("low <> high")
+    open_ = durable(members.join(several.select("key", "rows", "bytes"), "key"), "open")
+    between = components(durable(met(open_, texts, similarity), "links", texts=True))
+    out = texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("first"))
+    return out.join(between.select(F.col("node").alias("first"), "root"), "first", "left").select("node", F.coalesce("root", "first").alias("root"))
 
-def near(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """leader, node of all pairs of members (key, node, root) of one bucket and different roots but those whose lengths
-    or word counts rule the similarity out: each word too many on a side is an edit.
 
-    Texts of one bucket meet by length: those whose similarity allows it are in the same length class or the next. Groups
-    of more than GROUP rows are dealt out as pairs of blocks."""
+def blocks_of(rows, size):
+    return F.greatest(F.ceil(rows / GROUP), F.ceil(size / GROUP_BYTES), F.lit(1))
 
-    def profiled(it):
-        for batch in it:
-            made = [profile(t) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([n for n, _ in made], pa.int64()), pa.array([c for _, c in made], pa.binary())], names=["node", "n", "counts"])
-        worker_cache("neardup.words", Hashes).clear()
 
-    wanted = members.select("node").distinct()
-    profiles = durable(texts.join(wanted, "node", "left_semi").mapInArrow(settled(profiled), "node string, n long, counts binary"), "profiles", texts=True)
+def met(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b: roots of similar texts of one key and different roots. open_: key, node, root, n, size, rows and bytes (of the key).
+
+    A key of one block is a group. Larger ones are dealt out by length: of texts whose similarity allows it, the lengths
+    are of one class or the next; what has still more than a block's rows goes out as pairs of blocks."""
     width = float(-np.log(max(similarity, 1e-3)) * 1.0001 + 1e-4)
-    sized = members.join(profiles.select("node", "n"), "node").withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / width))
-    sized = sized.withColumn("class", F.explode(F.array("class", F.col("class") + 1))).withColumn("own", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / width) == F.col("class")).drop("n")
-    total = sized.groupBy("key", "class").agg(F.ceil(F.count("*") / GROUP).alias("blocks"), F.max("own").alias("any"), F.min("root").alias("low"), F.max("root").alias("high")).where("any AND low <> high")
-    dealt = sized.join(total.select("key", "class", "blocks"), ["key", "class"]).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
+    class_ = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / width)
+    ways = F.when(blocks_of(F.col("rows"), F.col("bytes")) == 1, F.array(F.lit(-1).cast("long"))).otherwise(F.array(class_, class_ + 1))
+    sized = open_.select("key", "node", "root", "size", class_.alias("own"), F.explode(ways).alias("class"))
+    sized = sized.withColumn("own", (F.col("class") == -1) | (F.col("class") == F.col("own")))
+    total = sized.groupBy("key", "class").agg(blocks_of(F.count("*"), F.sum("size")).alias("blocks"), F.max("own").alias("any"), F.min("root").alias("low"), F.max("root").alias("high"))
+    dealt = sized.join(total.where("any AND low <> high").select("key", "class", "blocks"), ["key", "class"]).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("first"), "own", "node", "root")
-    dealt = dealt.join(profiles, "node").withColumn("group", F.xxhash64("key", "class", "i", "j"))
+    i, j = F.least("mine", "other"), F.greatest("mine", "other")
+    dealt = dealt.select(F.xxhash64("key", "class", i, j).alias("group"), "key", "node", "root", "own", F.when(i == j, F.lit(0)).when(F.col("mine") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).alias("side"))
+    held = texts.select("node", "n", "counts", "z").join(open_.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node")  # at most a sample's keys
 
     def compare(it):
-        held, last = [], None
+        parts, last = [], None
         for batch in it:
             if not batch.num_rows:
                 continue
             groups = batch.column("group").to_numpy()
-            ends = np.flatnonzero(np.r_[groups[1:] != groups[:-1], True]) + 1
             at = 0
-            for end in ends.tolist():
-                if held and groups[at] != last:
-                    yield pairs_within(held, similarity)
-                    held = []
-                held.append(batch.slice(at, end - at))
+            for end in (np.flatnonzero(np.r_[groups[1:] != groups[:-1], True]) + 1).tolist():
+                if parts and groups[at] != last:
+                    yield links_within(parts, similarity)
+                    parts = []
+                parts.append(batch.slice(at, end - at))
                 last, at = groups[at], end
-        if held:
-            yield pairs_within(held, similarity)
+        if parts:
+            yield links_within(parts, similarity)
 
-    dealt = dealt.select("group", "i", "j", "first", "own", "node", "root", "n", "counts").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(settled(compare), "leader string, node string")
+    return dealt.join(held, "node").repartition("group").sortWithinPartitions("group").select("group", "key", "node", "root", "own", "side", "n", "counts", "keys", "z").mapInArrow(settled(compare), "a long, b long")
 
 
-def pairs_within(held: list[pa.RecordBatch], similarity: float) -> pa.RecordBatch:
-    """leader, node of the pairs of one group that `near` can't rule out."""
-    t = pa.Table.from_batches(held).combine_chunks()
+def links_within(parts: list[pa.RecordBatch], similarity: float) -> pa.RecordBatch:
+    """a, b: roots that similar texts of one group join, each of them once. A pair that shares several keys is left
+    to one of their groups, by its number, so that pairs of many texts which share many keys are spread."""
+    t = pa.Table.from_batches(parts).combine_chunks()
     n = t.column("n").to_numpy()
     order = np.argsort(n, kind="stable")
-    n = n[order]
-    nodes = t.column("node").to_pylist()
-    own = t.column("own").to_numpy()[order]
-    first = t.column("first").to_numpy()[order]
-    one_block = t.column("i")[0] == t.column("j")[0]
-    roots = np.unique(np.array(t.column("root").to_pylist()), return_inverse=True)[1][order]
-    counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(-1, PARTS)[order].astype(np.int16)
-    rough = counts.reshape(len(counts), 16, -1).sum(axis=2, dtype=np.int32)
+    n, side, own, root = n[order], t.column("side").to_numpy()[order], t.column("own").to_numpy()[order], t.column("root").to_numpy()[order]
+    told = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(len(n), -1)[order]
+    counts, odd = told[:, :PARTS].astype(np.int16), np.ascontiguousarray(np.ascontiguousarray(told[:, PARTS:]).view(np.uint64).T)
+    key, keys, z = t.column("key")[0].as_py(), t.column("keys"), t.column("z")
+    tool, texts = zstandard.ZstdDecompressor(), {}
+    node, met_by = t.column("node").to_numpy()[order], {}
+
+    def words(i: int) -> list[bytes]:
+        if len(texts) > 512:
+            texts.clear()
+        if i not in texts:
+            texts[i] = tool.decompress(z[int(order[i])].as_py()).split()
+        return texts[i]
+
+    def here(a: int, b: int) -> bool:
+        """Whether, of the keys that the pair shares, this one is its own."""
+        for i in (a, b):
+            if i not in met_by:
+                met_by[i] = set(keys[int(order[i])].as_py())
+        shared = sorted(met_by[a] & met_by[b])
+        return shared[int(node[a] + node[b]) % len(shared)] == key
+
     # of a pair the longer text comes later, and bounds the number of edits
     limits = np.array([int((1 - similarity) * x + 1e-9) for x in n.tolist()])
     starts = np.searchsorted(n, n - limits)
-    out_a, out_b = [], []
+    now, out_a, out_b = root.copy(), [], []
     for b in range(1, len(n)):
-        at = np.arange(starts[b], b)
-        at = at[(roots[at] != roots[b]) & (own[at] | own[b])]
-        if not one_block:
-            at = at[first[at] != first[b]]
-        for table_ in (rough, counts):
-            if len(at):
-                more = table_[at] - table_[b]
-                over = np.maximum(more, 0).sum(axis=1)
-                at = at[np.maximum(over, over - more.sum(axis=1)) <= limits[b]]
-        for a in at.tolist():
-            x, y = nodes[order[a]], nodes[order[b]]
-            out_a.append(min(x, y))
-            out_b.append(max(x, y))
-    return pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string())], names=["leader", "node"])
-
-
-def edges_of(found: DataFrame) -> DataFrame:
-    return found.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        near = slice(starts[b], b)
+        apart = np.bitwise_count(odd[:, near] ^ odd[:, b : b + 1]).sum(axis=0, dtype=np.uint16)  # an edit changes two parities at most
+        at = starts[b] + np.flatnonzero((apart <= 2 * limits[b]) & (now[near] != now[b]) & (own[near] | own[b]) & ((side[near] != side[b]) | (side[b] == 0)))
+        if len(at):  # each word too many on a side is an edit
+            more = counts[at] - counts[b]
+            over = np.maximum(more, 0).sum(axis=1)
+            over = np.maximum(over, over - more.sum(axis=1))
+            at, over = at[over <= limits[b]], over[over <= limits[b]]
+        if not len(at):
+            continue
+        at = at[np.argsort(over, kind="stable")]
+        at = at[[here(a, b) for a in at.tolist()]]
+        while len(at):
+            a, at = int(at[0]), at[1:]
+            if similar(words(a), words(b), similarity):
+                out_a.append(root[a])
+                out_b.append(root[b])
+                now[now == now[a]] = now[b]
+                at = at[now[at] != now[b]]
+    return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -361,28 +382,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node, class_id (the smallest doc_id of the class) for every row of docs."""
+    """doc_id, digest, class_id (the smallest doc_id of the class), stays (it, with the smallest digest among those that
+    have it, is the one of its class) for every row of docs."""
     rows = durable(sketched(docs), "sketches", texts=True)
-    nodes = durable(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
-    roots = linked(nodes, docs, similarity)
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = durable(named.join(ids, "root").select("node", "class_id"), "classes")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id")
+    nodes = durable(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")), "nodes")
+    texts = rows.drop("doc_id", "digest").withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
+    named = durable(nodes.join(linked(durable(texts, "distinct"), similarity), "node"), "named")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best")
+    named = durable(named.join(named.groupBy("root").agg(best), "root").select("digest", F.col("best.doc_id").alias("class_id"), (F.col("digest") == F.col("best.digest")).alias("first")), "classes")
+    out = rows.select("doc_id", "digest").join(named, "digest")
+    return out.select("doc_id", "digest", "class_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The row of docs with the smallest doc_id of each class, all columns untouched; rows without an id stay. Of rows
-    that repeat the smallest doc_id one stays."""
-    held = durable(classes(docs.select("doc_id", "text"), similarity).distinct(), "held")
-    gone = held.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_"), F.col("node").alias("node_"))
-    out = docs.join(gone, (docs["doc_id"] == gone["gone_"]) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == gone["node_"]), "left_anti")
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
-    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """One row of docs of each class, all columns untouched: that with the smallest doc_id, null after all others; of
+    different texts with that doc_id the one of least digest, of rows that repeat it any."""
+    stay = classes(docs.select("doc_id", "text"), similarity).where("stays").groupBy(F.col("doc_id").alias("doc_"), F.col("digest").alias("digest_")).agg(F.count("*").alias("n_"))
+    stay = durable(stay, "stay")
+    same = lambda few: F.col("doc_id").eqNullSafe(few["doc_"]) & (digest_of("text") == few["digest_"])
+    alone, again = stay.where("n_ = 1"), stay.where("n_ > 1")
+    out = docs.join(alone, same(alone), "left_semi")
+    if again.isEmpty():
         return out
-    return out.where("doc_id IS NULL").unionByName(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    twice = docs.join(again, same(again), "left_semi").select(F.struct("*").alias("row"), "doc_id", digest_of("text").alias("digest"))
+    return out.unionByName(twice.dropDuplicates(["doc_id", "digest"]).select("row.*"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, kept (it is the one of its class that stays) for every row of documents."""
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("stays").alias("kept"))
