@@ -2,6 +2,7 @@
 
 import atexit
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -61,6 +62,19 @@ def durable(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes the tables of durable frames that nothing reads any more. The driver's garbage goes as well, and with it the
+    shuffle files of finished steps, which otherwise stay on the executors' disks until the driver happens to collect."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.startswith(shared_dir(spark)):
+                remove_path(spark, path)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,9 +10,10 @@ as far as they aren't in one class by then.
 Scale: equal texts are one node from the start (a sum by digest), so copies cost one row each. A bucket of an ordered
 sketch is held against its leader, which takes a row for each member. What shares a single k-mer meets in groups that
 hold at most two blocks of bounded rows and bytes; larger buckets are dealt out by length first (texts of 0.8 are in one
-length class or the next), then as pairs of blocks. A group drops pairs by bounds on their edits (lengths, word counts),
-skips those that another group has, aligns the rest by rising bound, and returns only links between classes, one for two
-classes at most: rows out are in proportion to rows in. So the classes are exactly those of all similar pairs that share
+length class or the next), then as pairs of blocks. A group drops pairs by bounds on their edits (lengths, word counts);
+only members with a partner left bring their texts, in a second round, whose groups skip pairs that another group has,
+align the rest by rising bound, and return only links between classes, one for two classes at most: rows out are in
+proportion to rows in. So the classes are exactly those of all similar pairs that share
 a k-mer of their samples. Classes are connected components of the links, found by alternating star contractions whose
 rounds are written tables. Nothing of the corpus comes to the driver but counts.
 
@@ -31,9 +32,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, durable, settled, table, worker_cache
+from loomgraph.llm.common import as_bytes, durable, forget, settled, table, worker_cache
 
-SHINGLE, SAMPLED, FUNCTIONS, SIMILARITY = 5, 2, 16, 0.8
+SHINGLE, SAMPLED, FUNCTIONS, SIMILARITY = 5, 2, 12, 0.8
 RNG = np.random.default_rng(7)
 WORD_FACTORS = RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 FACTORS = RNG.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
@@ -201,20 +202,22 @@ def similar(a: list[bytes], b: list[bytes], similarity: float = SIMILARITY) -> b
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), row (its number), ordered, single, n, counts, z (the words, compressed) for every row."""
-    names = ["doc_id", "digest", "ordered", "single", "n", "counts", "z"]
+    """doc_id, digest (of the text), row (its number), ordered, single, n, counts, z (the words, compressed), size (of z)
+    for every row."""
+    names = ["doc_id", "digest", "ordered", "single", "n", "counts", "z", "size"]
 
     def sketch(it):
         tool = zstandard.ZstdCompressor(level=1)
         for batch in it:
             made = list(zip(*map(sketch_of, as_bytes(batch.column("text"))))) or [[]] * 5
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-            columns = [pa.array(list(c), k) for c, k in zip(made, kinds)] + [pa.array(map(tool.compress, made[4]), pa.binary())]
+            made[4] = list(map(tool.compress, made[4]))
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+            columns = [pa.array(list(c), k) for c, k in zip(made, kinds)] + [pa.array(list(map(len, made[4])), pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], names=names)
         worker_cache("neardup.words", Hashes).clear()  # an idle worker holds nothing
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", digest_of("text").alias("digest"), "text").mapInArrow(settled(sketch), f"doc_id {kind}, digest binary, ordered array<long>, single array<long>, n int, counts binary, z binary")
+    out = docs.select("doc_id", digest_of("text").alias("digest"), "text").mapInArrow(settled(sketch), f"doc_id {kind}, digest binary, ordered array<long>, single array<long>, n int, counts binary, z binary, size int")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -245,40 +248,57 @@ def proven(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(b, "node").join(a, "leader").select("leader", "node", "z_a", "z_b").mapInArrow(settled(align), "leader long, node long")
 
 
-def linked(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node, root for every node of texts (node, ordered, single, n, counts, z)."""
-    pairs = durable(led(texts.select("node", F.explode("ordered").alias("key"))), "pairs")
-    roots = components(durable(proven(pairs, texts, similarity), "links", texts=True).select(F.col("leader").alias("a"), F.col("node").alias("b")))
+def linked(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """node, root for every node of nodes (node: the row of rows that stands for it). rows: as sketched() has them, durable."""
+    of = lambda *names: rows.select(F.col("row").alias("node"), *names)
+    own = lambda *names: of(*names).join(nodes.select("node"), "node", "left_semi")
+    pairs = durable(led(own("ordered").select("node", F.explode("ordered").alias("key"))), "pairs")
+    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
+    texts = durable(of("z").join(wanted, "node", "left_semi"), "texts")
+    found = durable(proven(pairs, texts, similarity), "links", texts=True)
+    forget(pairs, texts)
+    roots = components(found.select(F.col("leader").alias("a"), F.col("node").alias("b")))
     # whatever shares a k-mer and is in different classes so far
-    named = texts.select("node", "n", F.length("z").alias("size"), "single").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = named.select(F.explode("single").alias("key"), "node", "root", "n", "size")
-    several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("low <> high")
-    open_ = durable(members.join(several.select("key", "rows", "bytes"), "key"), "open")
-    between = components(durable(met(open_, texts, similarity), "links", texts=True))
-    out = texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("first"))
+    named = own("n", "size", "single").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = durable(several(named.select(F.explode("single").alias("key"), "node", "root", "n", "size")), "open")
+    forget(found)
+    # those with a partner that no bound rules out, and their texts
+    marked = durable(grouped(open_, of("counts"), similarity, False), "marked").distinct()
+    left = durable(several(open_.drop("rows", "bytes").join(marked, ["key", "node"], "left_semi")), "open")
+    forget(open_)
+    keys = left.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most a sample's keys
+    between = components(durable(grouped(left, of("counts", "z").join(keys, "node"), similarity, True), "links", texts=True))
+    out = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("first"))
     return out.join(between.select(F.col("node").alias("first"), "root"), "first", "left").select("node", F.coalesce("root", "first").alias("root"))
 
 
+def several(members: DataFrame) -> DataFrame:
+    """members (key, node, root, n, size) of keys with different roots, with rows and bytes (of the key)."""
+    total = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    return members.join(total.where("low <> high").select("key", "rows", "bytes"), "key")
+
+
 def blocks_of(rows, size):
     return F.greatest(F.ceil(rows / GROUP), F.ceil(size / GROUP_BYTES), F.lit(1))
 
 
-def met(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b: roots of similar texts of one key and different roots. open_: key, node, root, n, size, rows and bytes (of the key).
+def grouped(open_: DataFrame, texts: DataFrame, similarity: float, align: bool) -> DataFrame:
+    """Texts of one key and different roots, held against each other. open_: as several() has it; texts: node, counts, and
+    to align keys (of the node) and z. Returns a, b, roots that similar texts join; or without align key, node of those
+    that have a partner which lengths and word counts don't rule out.
 
     A key of one block is a group. Larger ones are dealt out by length: of texts whose similarity allows it, the lengths
     are of one class or the next; what has still more than a block's rows goes out as pairs of blocks."""
     width = float(-np.log(max(similarity, 1e-3)) * 1.0001 + 1e-4)
     class_ = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / width)
     ways = F.when(blocks_of(F.col("rows"), F.col("bytes")) == 1, F.array(F.lit(-1).cast("long"))).otherwise(F.array(class_, class_ + 1))
-    sized = open_.select("key", "node", "root", "size", class_.alias("own"), F.explode(ways).alias("class"))
+    sized = open_.select("key", "node", "root", "n", "size", class_.alias("own"), F.explode(ways).alias("class"))
     sized = sized.withColumn("own", (F.col("class") == -1) | (F.col("class") == F.col("own")))
     total = sized.groupBy("key", "class").agg(blocks_of(F.count("*"), F.sum("size")).alias("blocks"), F.max("own").alias("any"), F.min("root").alias("low"), F.max("root").alias("high"))
     dealt = sized.join(total.where("any AND low <> high").select("key", "class", "blocks"), ["key", "class"]).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     i, j = F.least("mine", "other"), F.greatest("mine", "other")
-    dealt = dealt.select(F.xxhash64("key", "class", i, j).alias("group"), "key", "node", "root", "own", F.when(i == j, F.lit(0)).when(F.col("mine") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).alias("side"))
-    held = texts.select("node", "n", "counts", "z").join(open_.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node")  # at most a sample's keys
+    dealt = dealt.select(F.xxhash64("key", "class", i, j).alias("group"), "key", "node", "root", "n", "own", F.when(i == j, F.lit(0)).when(F.col("mine") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).alias("side"))
 
     def compare(it):
         parts, last = [], None
@@ -289,18 +309,19 @@ def met(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             at = 0
             for end in (np.flatnonzero(np.r_[groups[1:] != groups[:-1], True]) + 1).tolist():
                 if parts and groups[at] != last:
-                    yield links_within(parts, similarity)
+                    yield links_within(parts, similarity, align)
                     parts = []
                 parts.append(batch.slice(at, end - at))
                 last, at = groups[at], end
         if parts:
-            yield links_within(parts, similarity)
+            yield links_within(parts, similarity, align)
 
-    return dealt.join(held, "node").repartition("group").sortWithinPartitions("group").select("group", "key", "node", "root", "own", "side", "n", "counts", "keys", "z").mapInArrow(settled(compare), "a long, b long")
+    together = dealt.join(texts, "node").repartition("group").sortWithinPartitions("group")
+    return together.mapInArrow(settled(compare), "a long, b long" if align else "key long, node long")
 
 
-def links_within(parts: list[pa.RecordBatch], similarity: float) -> pa.RecordBatch:
-    """a, b: roots that similar texts of one group join, each of them once. A pair that shares several keys is left
+def links_within(parts: list[pa.RecordBatch], similarity: float, align: bool) -> pa.RecordBatch:
+    """grouped() for one group. Links come once for two classes at most. A pair that shares several keys is left
     to one of their groups, by its number, so that pairs of many texts which share many keys are spread."""
     t = pa.Table.from_batches(parts).combine_chunks()
     n = t.column("n").to_numpy()
@@ -308,7 +329,7 @@ def links_within(parts: list[pa.RecordBatch], similarity: float) -> pa.RecordBat
     n, side, own, root = n[order], t.column("side").to_numpy()[order], t.column("own").to_numpy()[order], t.column("root").to_numpy()[order]
     told = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(len(n), -1)[order]
     counts, odd = told[:, :PARTS].astype(np.int16), np.ascontiguousarray(np.ascontiguousarray(told[:, PARTS:]).view(np.uint64).T)
-    key, keys, z = t.column("key")[0].as_py(), t.column("keys"), t.column("z")
+    key, keys, z = t.column("key")[0].as_py(), *(t.column(c) if align else None for c in ("keys", "z"))
     tool, texts = zstandard.ZstdDecompressor(), {}
     node, met_by = t.column("node").to_numpy()[order], {}
 
@@ -330,7 +351,7 @@ def links_within(parts: list[pa.RecordBatch], similarity: float) -> pa.RecordBat
     # of a pair the longer text comes later, and bounds the number of edits
     limits = np.array([int((1 - similarity) * x + 1e-9) for x in n.tolist()])
     starts = np.searchsorted(n, n - limits)
-    now, out_a, out_b = root.copy(), [], []
+    now, out_a, out_b, marked = root.copy(), [], [], np.zeros(len(n), bool)
     for b in range(1, len(n)):
         near = slice(starts[b], b)
         apart = np.bitwise_count(odd[:, near] ^ odd[:, b : b + 1]).sum(axis=0, dtype=np.uint16)  # an edit changes two parities at most
@@ -342,6 +363,9 @@ def links_within(parts: list[pa.RecordBatch], similarity: float) -> pa.RecordBat
             at, over = at[over <= limits[b]], over[over <= limits[b]]
         if not len(at):
             continue
+        if not align:
+            marked[at] = marked[b] = True
+            continue
         at = at[np.argsort(over, kind="stable")]
         at = at[[here(a, b) for a in at.tolist()]]
         while len(at):
@@ -351,6 +375,8 @@ def links_within(parts: list[pa.RecordBatch], similarity: float) -> pa.RecordBat
                 out_b.append(root[b])
                 now[now == now[a]] = now[b]
                 at = at[now[at] != now[b]]
+    if not align:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(marked.sum(), key), pa.int64()), pa.array(node[marked], pa.int64())], names=["key", "node"])
     return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
@@ -374,7 +400,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        now = durable(star(star(now, True), False), "edges")
+        before, now = now, durable(star(star(now, True), False), "edges")
+        forget(before)
         new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 20))).first()
         if new == mark:
             return durable(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
@@ -386,8 +413,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     have it, is the one of its class) for every row of docs."""
     rows = durable(sketched(docs), "sketches", texts=True)
     nodes = durable(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")), "nodes")
-    texts = rows.drop("doc_id", "digest").withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
-    named = durable(nodes.join(linked(durable(texts, "distinct"), similarity), "node"), "named")
+    named = durable(nodes.join(linked(rows, nodes, similarity), "node"), "named")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best")
     named = durable(named.join(named.groupBy("root").agg(best), "root").select("digest", F.col("best.doc_id").alias("class_id"), (F.col("digest") == F.col("best.digest")).alias("first")), "classes")
     out = rows.select("doc_id", "digest").join(named, "digest")
