@@ -1,13 +1,17 @@
 """Benchmark decontamination: broadcast n-gram set, token-window scan, verified hits, span or document removal.
 
-The benchmark's windows go to the executors in blocks of bounded size (`block_windows`), one pass over the documents
-for each block; hits of the blocks are merged by document. So a large benchmark costs passes, never memory.
+The benchmark's windows go to the executors in blocks of bounded size (`block_windows` pairs of a window and an item),
+one pass over the documents for each block. Where one block is not enough, the documents are written once with row
+numbers; each pass then returns row numbers, spans and items of rows with hits alone, which are merged by row at the end.
+So a large benchmark costs passes, never memory.
 
 Defined results: null or empty texts have no words and no hits; null item ids count as the item ""; repeated items are
-one item; repeated documents each get their own row; an empty benchmark leaves every document clean; columns of
+one item; a window that several items have is a hit of each of them; repeated documents each get their own row; texts of
+any length are scanned whole; an empty benchmark leaves every document clean, and no documents give no rows; columns of
 documents other than the id and text are never looked at.
 """
 
+import itertools
 import re
 
 import numpy as np
@@ -18,8 +22,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import as_bytes, durable, settled, table
 
 WINDOW = 10
-#: Windows broadcast at once; each takes about 200 bytes on an executor.
+#: Pairs of a window and an item that are broadcast at once; each takes about 250 bytes on an executor.
 BLOCK_WINDOWS = 200_000
+#: Documents of which at least this share of the words is hit go as a whole.
+DROP_SHARE = 0.8
 #: Letters, digits and all beyond ASCII stay, A-Z become small, anything else becomes a space.
 FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -34,13 +40,18 @@ class Ngrams:
     """The windows of a block of items: word numbers, hashes by window length, and the exact windows to verify."""
 
     def __init__(self, size: int):
-        self.size, self.ids, self.items = size, {}, {}
+        self.size, self.ids, self.items, self.names, self.pairs = size, {}, {}, [], 0
 
     def add(self, item: str, words: list[bytes]) -> None:
         numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
         length = min(self.size, len(numbers))
-        for i in range(len(numbers) - length + 1 if length else 0):
-            self.items.setdefault(tuple(numbers[i : i + length]), set()).add(item)
+        if length:
+            if not self.names or self.names[-1] != item:
+                self.names.append(item)
+            new, k = {tuple(numbers[i : i + length]) for i in range(len(numbers) - length + 1)}, len(self.names) - 1
+            for w in new:
+                self.items.setdefault(w, []).append(k)
+            self.pairs += len(new)
 
     def close(self) -> "Ngrams":
         by = {}
@@ -63,8 +74,8 @@ class Ngrams:
             for i in np.flatnonzero(known[at] == h).tolist():
                 if items := self.items.get(tuple(a[i : i + n].tolist())):
                     spans.append((i, i + n))
-                    found |= items
-        return spans, found
+                    found.update(items)
+        return spans, {self.names[k] for k in found}
 
 
 def rolled(a: np.ndarray, n: int) -> np.ndarray:
@@ -86,7 +97,7 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 
 def blocks_of(benchmark: DataFrame, size: int, block_windows: int):
-    """Ngrams blocks, each of about block_windows windows; items stream through the driver one partition at a time."""
+    """Ngrams blocks, each of about block_windows pairs; items stream through the driver one partition at a time."""
     block, seen = Ngrams(size), 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         words = words_of((text or "").encode())
@@ -95,7 +106,7 @@ def blocks_of(benchmark: DataFrame, size: int, block_windows: int):
             if at and len(part) < size:
                 break
             block.add(item or "", part)
-            if len(block.items) >= block_windows:
+            if block.pairs >= block_windows:
                 yield block.close()
                 block = Ngrams(size)
                 seen += 1
@@ -104,49 +115,66 @@ def blocks_of(benchmark: DataFrame, size: int, block_windows: int):
 
 
 SPANS = "array<struct<s:int,e:int>>"
-
-
-def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, text, [extra columns], n_words, spans (merged hit word ranges), items (sorted strings) for every document row.
-
-    A pass for each block of the benchmark adds its hits to the rows; passes are cut apart by a written table, so that
-    one block at a time is in memory.
-    """
-    out = with_no_hits(docs.select("doc_id", "text", *(extra or [])))
-    for k, block in enumerate(blocks_of(benchmark, size, block_windows)):
-        out = one_pass(durable(out, "hits") if k else out, block)
-    return out
-
-
-def with_no_hits(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>")})
-
-
 HITS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
-def hits_of(grams: Ngrams, batch: pa.RecordBatch) -> tuple[list, list, list]:
-    """Words, merged spans and items of each text of a batch, with the hits that the batch has from other blocks."""
+def hits_of(grams: Ngrams, batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Words, merged spans and items of each text of a batch."""
     n_words, spans, items = [], [], []
-    for text, had, known in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+    for text in as_bytes(batch.column("text")):
         words = words_of(text)
         s, f = grams.scan(words) if grams.items else ([], set())
         n_words.append(len(words))
-        spans.append(merged([*s, *((x["s"], x["e"]) for x in had or [])]))
-        items.append(sorted(f | set(known or [])))
-    return n_words, spans, items
+        spans.append([{"s": a, "e": b} for a, b in merged(s)])
+        items.append(sorted(f))
+    return pa.array(n_words, pa.int64()), pa.array(spans, HITS), pa.array(items, pa.list_(pa.string()))
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs' columns, n_words, spans (merged hit word ranges), items (sorted strings) for every row. docs has a column
+    text, and none of the names n_words, spans, items and row_."""
+    blocks = blocks_of(benchmark, size, block_windows)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return one_pass(docs, first)
+    docs = durable(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    hits, words = [], None
+    for block in itertools.chain((first, second), blocks):  # a block is made when its turn comes
+        found = one_pass(docs.select("row_", "text"), block).drop("text")
+        if words is None:
+            found = durable(found, "hits")
+            words = found.select("row_", "n_words")
+        hits.append(durable(found.where("size(spans) > 0").drop("n_words"), "hits"))
+    every = hits[0]
+    for x in hits[1:]:
+        every = every.unionByName(x)
+    # bounded by a document's words and its items
+    each = every.groupBy("row_").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = docs.join(words, "row_").join(each, "row_", "left")
+    return out.withColumns({"spans": F.when(F.col("spans").isNull(), F.array().cast(SPANS)).otherwise(united(F.col("spans"))), "items": F.coalesce("items", F.array().cast("array<string>"))}).drop("row_")
+
+
+def united(spans):
+    """merged() of a column."""
+    def step(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        wider = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when(F.coalesce(x["s"] <= last["e"], F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
 
 
 def one_pass(src: DataFrame, block: Ngrams) -> DataFrame:
+    """src with n_words, spans and items of one block."""
     held = src.sparkSession.sparkContext.broadcast(block)
+    kind = src.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>")}).schema
 
     def scan(it):
         for batch in it:
-            n_words, spans, items = hits_of(held.value, batch)
-            told = [[{"s": a, "e": b} for a, b in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(n_words, pa.int64()), pa.array(told, HITS), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *hits_of(held.value, batch)], names=kind.names)
 
-    return src.mapInArrow(settled(scan), src.schema)
+    return src.mapInArrow(settled(scan), kind)
 
 
 def removed_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -159,41 +187,46 @@ def removed_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: float = 1.0) -> DataFrame:
-    """docs without benchmark passages: hit words go, and documents of which more than drop_share of the words are hit.
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: float = DROP_SHARE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs without benchmark passages: hit words go, and so do documents of which at least drop_share of the words are
+    hit. What is left of a cut text is scanned again, as its ends meet, until nothing is hit.
 
     Rows with no hit are untouched; all columns stay, n_chars (where there is one) follows the new text.
     """
-    free = {c: c if c in ("doc_id", "text") else f"in_{c}" for c in docs.columns}  # no clash with what the scan adds
-    names, plain = list(free.values()), docs.columns
-    found = with_no_hits(docs.toDF(*names))
-    blocks = blocks_of(benchmark, WINDOW, BLOCK_WINDOWS)
-    block = next(blocks)
-    for following in blocks:
-        found, block = durable(one_pass(found, block), "hits"), following
-    held = docs.sparkSession.sparkContext.broadcast(block)
-    out_names = [*names, "was_cut"]
+    names, plain = [f"in_{c}" if c != "text" else c for c in docs.columns], docs.columns  # no clash with what the scan adds
+    counted = "n_chars" in plain
+    now, done = docs.toDF(*names), []
 
     def cut(it):
         for batch in it:
-            column = batch.column("text")
-            n_words, spans, _ = hits_of(held.value, batch)
-            texts = [removed_words(t, s) if s else t for t, s in zip(column.cast(pa.binary()).to_pylist(), spans)]
-            stays = [sum(e - s for s, e in x) <= drop_share * n for x, n in zip(spans, n_words)]
-            columns = [pa.array(texts, pa.binary()).cast(column.type) if n == "text" else c for n, c in zip(batch.schema.names, batch.columns[:-3])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(s) for s in spans])], names=out_names).filter(pa.array(stays))
-
-    out = found.mapInArrow(settled(cut), found.select(*names).withColumn("was_cut", F.lit(True)).schema)
-    if "n_chars" in plain:
-        out = out.withColumn("in_n_chars", F.when(F.col("was_cut"), F.length("text")).otherwise(F.col("in_n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names).toDF(*plain)
+            column, spans = batch.column("text"), batch.column("spans").to_pylist()
+            texts, n_words = column.cast(pa.binary()).to_pylist(), batch.column("n_words").to_pylist()
+            ranges = [[(x["s"], x["e"]) for x in s] for s in spans]
+            stays = [sum(e - s for s, e in x) < drop_share * n for x, n in zip(ranges, n_words)]
+            texts = [removed_words(t, x) if y else t for t, x, y in zip(texts, ranges, stays)]
+            columns = [pa.array(texts, pa.binary()).cast(column.type) if n == "text" else c for n, c in zip(batch.schema.names, batch.columns) if n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
+
+    while True:
+        found = durable(scan_documents(now, benchmark, block_windows=block_windows), "scanned", texts=True)
+        done.append(found.where("size(spans) = 0").select(names))
+        hit = found.where("size(spans) > 0")
+        if hit.isEmpty():
+            break
+        now = durable(hit.mapInArrow(settled(cut), hit.select(names).schema), "cut", texts=True)
+        if counted:
+            now = now.withColumn("in_n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.toDF(*plain)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of documents."""
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
-    return scan_documents(docs, benchmark).select(
+    return scan_documents(docs.select("doc_id", "text"), benchmark).select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated")
     )
 

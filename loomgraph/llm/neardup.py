@@ -13,7 +13,7 @@ hold at most two blocks of bounded rows and bytes; larger buckets are dealt out
 length class or the next), then as pairs of blocks. A group drops pairs by bounds on their edits (lengths, word counts);
 only members with a partner left bring their texts, in a second round, whose groups skip pairs that another group has,
 align the rest by rising bound, and return only links between classes, one for two classes at most: rows out are in
-proportion to rows in. So the classes are exactly those of all similar pairs that share
+proportion to rows in. What texts are joined with grows with the corpus, so those joins are by sorting, never broadcasts. So the classes are exactly those of all similar pairs that share
 a k-mer of their samples. Classes are connected components of the links, found by alternating star contractions whose
 rounds are written tables. Nothing of the corpus comes to the driver but counts.
 
@@ -245,16 +245,16 @@ def proven(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node")], names=["leader", "node"]).filter(pa.array(out, pa.bool_()))
 
     a, b = texts.select(F.col("node").alias("leader"), F.col("z").alias("z_a")), texts.select("node", F.col("z").alias("z_b"))
-    return pairs.join(b, "node").join(a, "leader").select("leader", "node", "z_a", "z_b").mapInArrow(settled(align), "leader long, node long")
+    return pairs.join(b.hint("merge"), "node").join(a.hint("merge"), "leader").select("leader", "node", "z_a", "z_b").mapInArrow(settled(align), "leader long, node long")
 
 
 def linked(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node, root for every node of nodes (node: the row of rows that stands for it). rows: as sketched() has them, durable."""
     of = lambda *names: rows.select(F.col("row").alias("node"), *names)
-    own = lambda *names: of(*names).join(nodes.select("node"), "node", "left_semi")
+    own = lambda *names: of(*names).join(nodes.select("node").hint("merge"), "node", "left_semi")
     pairs = durable(led(own("ordered").select("node", F.explode("ordered").alias("key"))), "pairs")
     wanted = pairs.select("node").union(pairs.select("leader")).distinct()
-    texts = durable(of("z").join(wanted, "node", "left_semi"), "texts")
+    texts = durable(of("z").join(wanted.hint("merge"), "node", "left_semi"), "texts")
     found = durable(proven(pairs, texts, similarity), "links", texts=True)
     forget(pairs, texts)
     roots = components(found.select(F.col("leader").alias("a"), F.col("node").alias("b")))
@@ -267,7 +267,7 @@ def linked(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) ->
     left = durable(several(open_.drop("rows", "bytes").join(marked, ["key", "node"], "left_semi")), "open")
     forget(open_)
     keys = left.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most a sample's keys
-    between = components(durable(grouped(left, of("counts", "z").join(keys, "node"), similarity, True), "links", texts=True))
+    between = components(durable(grouped(left, of("counts", "z").join(keys.hint("merge"), "node"), similarity, True), "links", texts=True))
     out = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("first"))
     return out.join(between.select(F.col("node").alias("first"), "root"), "first", "left").select("node", F.coalesce("root", "first").alias("root"))
 
@@ -316,7 +316,7 @@ def grouped(open_: DataFrame, texts: DataFrame, similarity: float, align: bool)
         if parts:
             yield links_within(parts, similarity, align)
 
-    together = dealt.join(texts, "node").repartition("group").sortWithinPartitions("group")
+    together = dealt.join(texts.hint("merge"), "node").repartition("group").sortWithinPartitions("group")
     return together.mapInArrow(settled(compare), "a long, b long" if align else "key long, node long")
 
 

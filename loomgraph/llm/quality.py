@@ -1,21 +1,24 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions alone.
 
 Word, symbol, capital, line and repetition counts give every text a vector of transformed shares. For each language and
-source the minimum-covariance-determinant estimate of that vector is found by concentration steps: from robust starts
-(sum and largest of the deviations from the medians, and from the lower quartiles) the half-plus subset of smallest
-distance gives a mean and a covariance, those give distances again, until no start's determinant falls; the least
-determinant counts. Texts whose Mahalanobis distance exceeds a chi-square limit are rejected.
-
-Scale: the texts are read once, into a narrow table of counts; every step aggregates that table by group with partial
-sums; texts never move. Tables of one row a group are written, so that Spark knows their size and broadcasts them only
-while they are small. The order statistics come from a histogram of bounded size per group, never from a sorted group.
-Sums are exact decimals, so results don't depend on the order of rows.
-
-Defined results: null and empty texts have no words, fail the base rules and are not kept; null languages and sources
-are groups of their own; groups of fewer than MIN_GROUP judged texts share one pooled estimate; where the pool is
-smaller too, each is judged by the estimate over its language if that has MIN_GROUP, else over all rows; tables of fewer
-than about 100 judged rows have no estimate and reject none; repeated rows count as often as they stand there; columns other than doc_id, text, lang and
-source pass through untouched.
+source, each language and all rows the regularised minimum covariance determinant of that vector is found: from three
+starts (median and its deviations, lower quartile and its deviations, median and the least deviations) concentration
+steps take the half-plus subset of smallest Mahalanobis distance, give its mean and covariance, and go on until the
+determinant falls no more; the start of least determinant counts, and is reweighted once by all rows within the 97.5 %
+quantile. A group's estimate is then drawn towards its language's, and that towards the one of all rows, by SHRINK rows'
+weight, at any size of group. A text is rejected if its squared Mahalanobis distance exceeds a chi-square limit, under
+its group's covariance plus that of its own counts, which scatter by NOISE over the square root of its words.
+
+Scale: the texts are read once, into a narrow table of counts; every step aggregates that table by estimate and distance
+bin, with partial sums, in one pass; texts never move, and no group is gathered. Tables of a row a group are written, so
+that Spark knows their size and broadcasts them only while they are small. Sums are whole numbers, so results don't
+depend on the order of rows.
+
+Defined results: null and empty texts have no words, fail the base rules and are not kept; very long texts are counted
+whole, in one row's arrays of a few numbers a word; ties of distances share a bin, of whose rows each counts by the same
+fraction; null languages and sources are groups of their own; tables of few rows are judged by what SHRINK and the least
+deviations make of them; repeated rows count as often as they stand there; an empty table gives no rows; columns other
+than doc_id, text, lang and source pass through untouched.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,16 +30,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS, UPPER = r"[#*$%&|<>]", "[A-Z]"
 REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 
-#: Transformed statistics and the least standard deviation that each is credited with. Counts of a handful of words
-#: scatter more: each floor widens by the second figure over the square root of the number of words.
+#: Transformed statistics; the least standard deviation of each (the regularisation), and that of the statistic of one
+#: text, times the square root of its number of words.
 FEATURES = ("x_length", "x_symbols", "x_upper", "x_lines", "x_repeats")
-FLOORS = {"x_length": (0.04, 0.6), "x_symbols": (0.03, 0.3), "x_upper": (0.06, 0.6), "x_lines": (0.12, 0.6), "x_repeats": (0.12, 0.6)}
-MIN_GROUP, STARTS = 200, 3
-#: A fall of the determinant by less than this share is none.
+LEAST, NOISE = (0.04, 0.03, 0.06, 0.12, 0.12), (0.6, 0.4, 0.6, 0.6, 0.6)
+#: Rows by whose weight the wider estimate enters.
+SHRINK = 100
+#: A fall of the logarithm of the determinant by less than this is none.
 FALL = 1e-3
-#: Chi-square with 5 degrees of freedom: 1e-7 of clean texts lie beyond; and what a half of all lacks of the full variance.
-LIMIT, CONSISTENCY = 40.9, 1.91
-UNIT, BINS = 1 << 20, 24
+#: Chi-square with 5 degrees of freedom: 1e-7 of clean texts lie beyond LIMIT, 0.025 beyond NEAR; what covariances of a half,
+#: and of all within NEAR, lack of the full one.
+LIMIT, NEAR, HALF_FACTOR, NEAR_FACTOR = 40.9, 12.833, 1.912, 1.0555
+#: Features are whole numbers of 1 / UNIT, up to MOST; their histograms' bins are WIDTH wide; distance bins a doubling.
+UNIT, MOST, WIDTH, BINS = 2048, 16.0, 4, 24
+P = len(FEATURES)
+FIT = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -82,116 +90,136 @@ def judged(counts: DataFrame) -> DataFrame:
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
             "group_": F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))),
         }
-    ).withColumns({k: F.floor(v * UNIT + 0.5).cast("long") for k, v in x.items()})
+    ).withColumns({k: F.floor(F.least(v, F.lit(MOST)) * UNIT + 0.5).cast("long") for k, v in x.items()})
 
 
-def language() -> Column:
-    return F.concat(F.lit("\x1e"), F.substring_index("group_", "\x1f", 1))
+def levels() -> Column:
+    """The keys that a group's rows count for: the group, its language, all rows."""
+    return F.array(F.col("group_"), F.concat(F.lit("\x1e"), F.substring_index("group_", "\x1f", 1)), F.lit(""))
 
 
-def pooled(rows: DataFrame, large: DataFrame, languages: DataFrame | None = None) -> DataFrame:
-    """Groups that aren't among the large ones get the key of their language, if it is among languages, or the shared key ''."""
-    out = rows.join(large.withColumn("large_", F.lit(True)), "group_", "left").withColumn("language_", language())
-    if languages is not None:
-        out = out.join(languages.withColumn("known_", F.lit(True)), "language_", "left")
-    else:
-        out = out.withColumn("known_", F.lit(None).cast("boolean"))
-    key = F.when(F.col("large_"), F.col("group_")).when(F.col("known_"), F.col("language_")).otherwise(F.lit(""))
-    return out.withColumn("group_", key).drop("large_", "known_", "language_")
+def quantile(bins: DataFrame, q: float) -> DataFrame:
+    """key, k, at: the bin of bins (key, k, bin, n) in which the quantile lies."""
+    w = Window.partitionBy("key", "k")
+    upto = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
+    return upto.where(F.col("upto") >= q * F.col("all")).groupBy("key", "k").agg(F.min("bin").alias("at"))
 
 
-def quantiles(rows: DataFrame, values: dict[str, tuple[Column, float]], width: int, more: float = 0.0) -> DataFrame:
-    """Per group and name, the lower edge of the histogram bin (of the whole numbers / width) in which the quantile, and
-    `more` rows, lie."""
-    long = rows.select("group_", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(v / width).cast("long").alias("bin"), F.lit(q).alias("q")) for k, (v, q) in values.items()])).alias("e")).select("group_", "e.*")
-    bins = long.groupBy("group_", "k", "bin").agg(F.count("*").alias("n"), F.first("q").alias("q"))
-    w = Window.partitionBy("group_", "k")
-    bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
-    return bins.where(F.col("upto") >= F.least(F.col("q") * F.col("all") + more, F.col("all"))).groupBy("group_", "k").agg((F.min("bin") * width).alias("v")).groupBy("group_").pivot("k", list(values)).agg(F.first("v"))
+def starts(vectors: DataFrame) -> DataFrame:
+    """key, start, and the mean and (diagonal) factor of each start, from one histogram of all features."""
+    long = vectors.select("group_", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.floor(F.col(f) / WIDTH).cast("long").alias("bin")) for i, f in enumerate(FEATURES)])).alias("e"))
+    bins = durable(long.groupBy("group_", "e.k", "e.bin").agg(F.count("*").alias("n")), "bins")
+    bins = durable(bins.select(F.explode(levels()).alias("key"), "k", "bin", "n").groupBy("key", "k", "bin").agg(F.sum("n").alias("n")), "bins")
+    half, low = durable(quantile(bins, 0.5), "half"), durable(quantile(bins, 0.25), "low")
 
+    def spread(at: DataFrame) -> DataFrame:
+        off = bins.join(at, ["key", "k"]).select("key", "k", F.abs(F.col("bin") - F.col("at")).alias("bin"), "n").groupBy("key", "k", "bin").agg(F.sum("n").alias("n"))
+        return at.join(quantile(off, 0.5).withColumnRenamed("at", "mad"), ["key", "k"])
 
-def moments(rows: DataFrame) -> DataFrame:
-    """Per group the mean, the lower Cholesky factor of the floored covariance of the features, and det, its log determinant."""
-    d = lambda c: c.cast("decimal(38,0)")
-    sums = {f"s{i}": F.sum(d(F.col(f))) for i, f in enumerate(FEATURES)} | {f"s{i}{j}": F.sum(d(F.col(FEATURES[i]) * F.col(FEATURES[j]))) for i in range(len(FEATURES)) for j in range(i + 1)}
-    out = rows.groupBy("group_").agg(F.count("*").alias("n_"), *[v.alias(k) for k, v in sums.items()])
-    n = F.col("n_").cast("double")
-    out = out.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / n / UNIT for i in range(len(FEATURES))})
-    for i, f in enumerate(FEATURES):
-        for j in range(i + 1):
-            c = (F.col(f"s{i}{j}").cast("double") / n / UNIT / UNIT - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
-            out = out.withColumn(f"c{i}{j}", c + FLOORS[f][0] ** 2 if i == j else c)
-    for i in range(len(FEATURES)):
+    made = [spread(half), spread(low), half.withColumn("mad", F.lit(0).cast("long"))]
+    rows = [x.select("key", F.lit(i).alias("start"), "k", ((F.col("at") + 0.5) * WIDTH / UNIT).alias("m"), (F.col("mad") * 1.4826 * WIDTH / UNIT).alias("s")) for i, x in enumerate(made)]
+    wide = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("key", "start").pivot("k", list(range(P))).agg(F.first("m").alias("m"), F.first("s").alias("s"))
+    factor = {f"l{i}{j}": F.greatest(F.col(f"{i}_s"), F.lit(LEAST[i])) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
+    return wide.select("key", "start", *[F.col(f"{i}_m").alias(f"m{i}") for i in range(P)], *[v.alias(k) for k, v in factor.items()])
+
+
+def factored(out: DataFrame, more: list | None = None) -> DataFrame:
+    """out with l, the lower Cholesky factor of the covariance c plus LEAST (and `more`) on its diagonal."""
+    for i in range(P):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
+            rest = F.col(f"c{i}{j}") + (LEAST[i] ** 2 if i == j else 0.0)
+            if i == j and more:
+                rest = rest + more[i]
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    out = out.withColumn("det", sum((F.log(f"l{i}{i}") for i in range(1, len(FEATURES))), F.log("l00")))
-    return out.select("group_", "n_", "det", *[f"m{i}" for i in range(len(FEATURES))], *[f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
+    return out
 
 
-def distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance in their group's fit, short texts credited with more scatter; null without a fit."""
-    out, made = rows.join(fit, "group_", "left"), []
-    short = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+def scored(out: DataFrame) -> DataFrame:
+    """out (features, m, l) with d2, the squared Mahalanobis distance."""
     for i, f in enumerate(FEATURES):
         y = F.col(f) / UNIT - F.col(f"m{i}")
-        # what a text of this length scatters beyond the floor goes off the deviation before the triangular solve
-        slack = F.lit(FLOORS[f][1]) / F.sqrt(short)
-        y = F.signum(y) * F.greatest(F.abs(y) - slack, F.lit(0.0))
         for j in range(i):
             y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
         out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-        made.append(f"y{i}")
-    d2 = sum((F.col(y) * F.col(y) for y in made[1:]), F.col(made[0]) * F.col(made[0]))
-    return out.withColumn("d2", d2).drop(*made, *[c for c in fit.columns if c not in ("group_", "n_")])
+    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))).drop(*[f"y{i}" for i in range(P)])
+
+
+def sums() -> dict[str, Column]:
+    pairs = {f"s{i}{j}": F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(P) for j in range(i + 1)}
+    return {"n": F.count("*")} | {f"s{i}": F.sum(f) for i, f in enumerate(FEATURES)} | pairs
+
+
+def moments(out: DataFrame, factor: float) -> DataFrame:
+    """out (n, s) with means m and covariances c, times factor."""
+    n = F.col("n").cast("double")
+    out = out.withColumns({f"m{i}": F.col(f"s{i}") / n / UNIT for i in range(P)})
+    return out.withColumns({f"c{i}{j}": (F.col(f"s{i}{j}") / n / UNIT / UNIT - F.col(f"m{i}") * F.col(f"m{j}")) * factor for i in range(P) for j in range(i + 1)})
+
+
+def fitted(vectors: DataFrame, groups: DataFrame, fits: DataFrame) -> DataFrame:
+    """A row for each vector and estimate (key, start, m, l) that its group counts for, with d2."""
+    of = groups.join(fits.select("key", "start", *FIT), "key").groupBy("group_").agg(F.collect_list(F.struct("key", "start", *FIT)).alias("fits"))  # three levels, three starts
+    return scored(vectors.join(of, "group_").select(*FEATURES, F.explode("fits").alias("f")).select(*FEATURES, "f.*"))
+
+
+def concentrated(vectors: DataFrame, groups: DataFrame, fits: DataFrame) -> DataFrame:
+    """key, start, m, l, det (logarithm) of the half-plus subset nearest by fits; of the last bin's rows each counts in part."""
+    bins = fitted(vectors, groups, fits).groupBy("key", "start", F.floor(F.log2(F.col("d2") + 1e-3) * BINS).cast("long").alias("bin")).agg(*[v.alias(k) for k, v in sums().items()])
+    w = Window.partitionBy("key", "start")
+    bins = bins.withColumns({"before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "h": F.floor((F.sum("n").over(w) + P + 1) / 2)})
+    bins = bins.withColumn("h", F.least("h", F.sum("n").over(w)))
+    whole, part = F.col("before") + F.col("n") <= F.col("h"), (F.col("h") - F.col("before")) / F.col("n")
+    cut = (F.col("before") < F.col("h")) & ~whole
+    total = lambda c: F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)) + F.coalesce(F.sum(F.when(cut, F.col(c) * part)), F.lit(0.0))
+    out = factored(moments(bins.groupBy("key", "start").agg(*[total(c).alias(c) for c in sums()]), HALF_FACTOR))
+    return out.withColumn("det", sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))).select("key", "start", "det", *FIT)
+
+
+def estimate(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, n (rows), m, c: the reweighted estimate of each key."""
+    fits = durable(concentrated(vectors, groups, durable(starts(vectors), "starts")).withColumn("fell", F.lit(True)), "fits")
+    best = fits
+    while True:
+        last = fits.where("fell")
+        new = concentrated(vectors, groups, last).join(last.select("key", "start", F.col("det").alias("had")), ["key", "start"])
+        fits = durable(new.withColumn("fell", F.col("det") < F.col("had") - FALL).drop("had"), "fits")
+        if fits.where("fell").isEmpty():
+            break
+        best = best.unionByName(fits.where("fell"))
+    one = best.groupBy("key").agg(F.min_by(F.struct(*FIT), F.struct("det", "start")).alias("x")).select("key", F.lit(0).alias("start"), "x.*")
+    near = fitted(vectors, groups, durable(one, "best")).groupBy("key").agg(F.count("*").alias("rows"), *[F.sum(F.when(F.col("d2") <= NEAR, F.lit(1) if f is None else f).otherwise(0)).alias(k) for k, f in terms().items()])
+    out = moments(near.where("n > 0"), NEAR_FACTOR)
+    return out.select("key", F.col("rows").cast("double").alias("n"), *[c for c in out.columns if c[0] in "mc"])
+
+
+def terms() -> dict[str, Column | None]:
+    """What sums() sums; None counts rows."""
+    pairs = {f"s{i}{j}": F.col(FEATURES[i]) * F.col(FEATURES[j]) for i in range(P) for j in range(i + 1)}
+    return {"n": None} | {f"s{i}": F.col(f) for i, f in enumerate(FEATURES)} | pairs
+
+
+def shrunk(estimates: DataFrame, groups: DataFrame) -> DataFrame:
+    """group_, m, c of every group: its own estimate, its language's and that of all rows, each drawn to the wider one."""
+    names = [c for c in estimates.columns if c not in ("key", "n")]
+    keys = groups.groupBy("group_").agg(F.collect_list("key").alias("keys")).select("group_", levels().alias("keys"))
+    out = keys
+    for i, tag in enumerate("gla"):
+        tagged = estimates.select(F.col("key").alias(f"key_{tag}"), F.col("n").alias(f"n_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in names])
+        out = out.withColumn(f"key_{tag}", F.col("keys")[i]).join(tagged, f"key_{tag}")
+    towards = lambda c, tag, wider: (F.col(f"n_{tag}") * F.col(f"{c}_{tag}") + SHRINK * wider) / (F.col(f"n_{tag}") + SHRINK)
+    return out.select("group_", *[towards(c, "g", towards(c, "l", F.col(f"{c}_a"))).alias(c) for c in names])
 
 
 def outliers(counts: DataFrame) -> DataFrame:
     """counts (a durable table with text counts, lang, source) with base_failed, d2 and kept."""
-    vectors = durable(judged(counts).where("NOT base_failed").select("group_", "n_words", *FEATURES), "vectors")
-    large = durable(vectors.groupBy("group_").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("group_"), "groups")
-    fit_on, languages = pooled(vectors, large), None
-    if 0 < vectors.join(large, "group_", "left_anti").count() < MIN_GROUP:  # too few for an estimate of their own
-        languages = durable(vectors.groupBy(language().alias("language_")).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("language_"), "languages")
-        wider = vectors.withColumn("language_", language()).join(languages, "language_").withColumn("group_", F.col("language_")).select(vectors.columns)
-        fit_on = vectors.join(large, "group_", "left_semi").select(vectors.columns).unionByName(wider).unionByName(vectors.withColumn("group_", F.lit("")))
-        fit_on = durable(fit_on, "vectors")
-    best = durable(estimate(fit_on), "best")
-    out = distances(pooled(judged(counts), large, languages), best.drop("det"))
-    small = F.coalesce(F.col("n_") < MIN_GROUP / 4, F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & (small | ~F.coalesce(F.col("d2") > LIMIT, F.lit(False)))).drop("n_", "group_", *FEATURES)
-
-
-def estimate(rows: DataFrame) -> DataFrame:
-    """Per group the moments of the half-plus subset of least determinant that the starts' concentration steps find."""
-    width = UNIT // 512
-    mid = durable(quantiles(rows, {f"q_{f}": (F.col(f), 0.5) for f in FEATURES} | {f"r_{f}": (F.col(f), 0.25) for f in FEATURES}, width), "medians")
-    dev = rows.join(mid, "group_")
-    mad = durable(quantiles(dev, {f"a_{f}": (F.abs(F.col(f) - F.col(f"q_{f}")), 0.5) for f in FEATURES} | {f"b_{f}": (F.abs(F.col(f) - F.col(f"r_{f}")), 0.5) for f in FEATURES}, width), "deviations")
-    dev = dev.join(mad, "group_")
-    z = lambda at, by: [F.pow((F.col(f) - F.col(f"{at}_{f}")) / F.greatest(F.col(f"{by}_{f}") * 1.4826, F.lit(FLOORS[f][0] * UNIT)), 2) for f in FEATURES]
-    starts = [sum(z("q", "a"), F.lit(0.0)), F.greatest(*z("q", "a")), sum(z("r", "b"), F.lit(0.0))]
-    named = F.concat_ws("\x1d", F.col("start").cast("string"), "group_").alias("group_")
-    dealt = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))).select(named, "n_words", *FEATURES)
-    scored = dev.select("group_", "n_words", *FEATURES, F.posexplode(F.array(*starts)).alias("start", "d2")).select(named, "n_words", *FEATURES, "d2")
-    best = None
-    while True:
-        scored = scored.withColumn("b_", F.floor(F.log(F.col("d2") + 1e-3) * BINS).cast("long"))
-        cut = durable(quantiles(scored, {"cut_": (F.col("b_"), 0.5)}, 1, (len(FEATURES) + 1) / 2), "cuts")
-        fit = durable(moments(scored.join(cut, "group_").where(F.col("b_") <= F.col("cut_"))), "fit")
-        if best is None:
-            best = fit
-        else:
-            fell = fit.join(best.select("group_", F.col("det").alias("had")), "group_").where(F.col("det") < F.col("had") - FALL).drop("had")
-            fell = durable(fell, "fell")
-            if fell.isEmpty():
-                break
-            best = durable(best.join(fell, "group_", "left_anti").unionByName(fell), "best")
-        scored = distances(dealt, fit.drop("det")).select("group_", "n_words", *FEATURES, "d2")
-    best = best.withColumns({"start": F.substring_index("group_", "\x1d", 1), "group_": F.expr("substring(group_, instr(group_, '\x1d') + 1)")})
-    return best.groupBy("group_").agg(F.min_by(F.struct(*[c for c in best.columns if c not in ("group_", "start")]), F.struct("det", "start")).alias("x")).select("group_", "x.*")
+    vectors = durable(judged(counts).where("NOT base_failed").select("group_", *FEATURES), "vectors")
+    groups = durable(vectors.select("group_").distinct().select("group_", F.explode(levels()).alias("key")), "groups")
+    fit = durable(shrunk(durable(estimate(vectors, groups), "estimates"), groups), "shrunk")
+    noise = [F.lit(s * s) / F.greatest("n_words", F.lit(1)) for s in NOISE]
+    out = scored(factored(judged(counts).join(fit, "group_", "left"), noise)).drop(*FIT, *[c for c in fit.columns if c != "group_"])
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > LIMIT, F.lit(False))).drop("group_", *FEATURES)
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
@@ -202,7 +230,7 @@ def keep_quality(docs: DataFrame) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept (and d2 floored to a thousandth)."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = outliers(durable(counted(docs).drop("text"), "counts"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -424,6 +424,69 @@ def test_outliers_of_a_rare_group(spark):
     assert sorted(r["doc_id"] for r in quality.keep_quality(frame).collect()) == list(range(len(clean)))
 
 
+def reference_estimates(groups):
+    """The estimate in numpy: rows of whole numbers by group to mean and covariance of each group."""
+    p, unit = quality.P, quality.UNIT
+    least = np.array(quality.LEAST)
+
+    def factor(c):
+        return np.linalg.cholesky(c + np.diag(least**2))
+
+    def d2(x, m, low):
+        return (np.linalg.solve(low, (x / unit - m).T) ** 2).sum(axis=0)
+
+    def half(x, m, low):
+        bins = np.floor(np.log2(d2(x, m, low) + 1e-3) * quality.BINS)
+        h, w = min((len(x) + p + 1) // 2, len(x)), np.zeros(len(x))
+        for b in np.unique(bins):
+            w[bins == b] = min(1, max(0, (h - (bins < b).sum()) / (bins == b).sum()))
+        m = (w @ x) / w.sum() / unit
+        low = factor(((w[:, None] * x).T @ x / w.sum() / unit**2 - np.outer(m, m)) * quality.HALF_FACTOR)
+        return np.log(np.diag(low)).sum(), m, low
+
+    def one(x):
+        bins = np.floor(x / quality.WIDTH)
+        at = lambda v, q: np.sort(v, axis=0)[int(np.ceil(q * len(v))) - 1]
+        mid, low_q = at(bins, 0.5), at(bins, 0.25)
+        scale = lambda about: np.maximum(at(np.abs(bins - about), 0.5) * 1.4826 * quality.WIDTH / unit, least)
+        found = []
+        for about, s in ((mid, scale(mid)), (low_q, scale(low_q)), (mid, least)):
+            best = half(x, (about + 0.5) * quality.WIDTH / unit, np.diag(s))
+            while (new := half(x, *best[1:]))[0] < best[0] - quality.FALL:
+                best = new
+            found.append(best)
+        _, m, low = min(found, key=lambda f: f[0])
+        x = x[d2(x, m, low) <= quality.NEAR]
+        m = x.mean(axis=0) / unit
+        return m, (x.T @ x / len(x) / unit**2 - np.outer(m, m)) * quality.NEAR_FACTOR
+
+    out = {}
+    for g, x in groups.items():
+        wider = [np.concatenate([y for k, y in groups.items() if k.split("\x1f")[0] == g.split("\x1f")[0]]), np.concatenate(list(groups.values()))]
+        (m, c), n = one(wider[1]), quality.SHRINK
+        for y in (wider[0], x):
+            a, b = one(y)
+            m, c = (len(y) * a + n * m) / (len(y) + n), (len(y) * b + n * c) / (len(y) + n)
+        out[g] = m, c
+    return out
+
+
+def test_estimates_equal_numpy(spark):
+    rng = np.random.default_rng(12)
+    groups, rows = {}, []
+    for g, n, junk in (("=en\x1f=a", 300, 0.4), ("=en\x1f=b", 40, 0.1), ("=de\x1f=a", 120, 0.0), ("=de\x1f-", 3, 0.0)):
+        x = rng.normal([1.7, 0.1, 0.12, 0.05, 0.02], [0.05, 0.03, 0.04, 0.02, 0.01], (n, 5))
+        x[: int(n * junk)] += [0.1, 0.5, 0.6, 0.0, 0.3]
+        groups[g] = np.floor(np.abs(x) * quality.UNIT)
+        rows += [(g, *map(int, r)) for r in groups[g]]
+    vectors = spark.createDataFrame(rows, "group_ string, " + ", ".join(f"{f} long" for f in quality.FEATURES))
+    keys = vectors.select("group_").distinct().selectExpr("*").select("group_", quality.F.explode(quality.levels()).alias("key"))
+    got = {r["group_"]: r for r in quality.shrunk(quality.estimate(vectors, keys), keys).collect()}
+    for g, (m, c) in reference_estimates(groups).items():
+        assert [got[g][f"m{i}"] for i in range(5)] == pytest.approx(m.tolist(), abs=1e-9)
+        assert [got[g][f"c{i}{j}"] for i in range(5) for j in range(i + 1)] == pytest.approx([c[i, j] for i in range(5) for j in range(i + 1)], abs=1e-9)
+
+
 # ---- 10
 
 
@@ -445,13 +508,24 @@ def brute_hits(text, items):
 def test_decontamination(spark, docs, rows, empty, block):
     items = [(1, " ".join(rows[8][1].split()[70:100]).upper()), (10, "a, b c!"), (2, None), (3, "ONE"), (None, rows[9][1][:300]), (2, "--"), (1, " ".join(rows[8][1].split()[70:100]))]
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, spans int")
-    got = {r["doc_id"]: (r["n_words"], sum(s["e"] - s["s"] for s in r["spans"]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r["spans"])) for r in decontaminate.scan_documents(docs, bench, block_windows=block).collect()}
+    got = {r["doc_id"]: (r["n_words"], sum(s["e"] - s["s"] for s in r["spans"]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r["spans"])) for r in decontaminate.scan_documents(docs.select("doc_id", "text"), bench, block_windows=block).collect()}
     for i, t, *_ in rows:
         assert got[i] == brute_hits(t, items)
-    out = decontaminate.remove_contamination(docs, bench)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    out = decontaminate.remove_contamination(docs, bench, block_windows=block)
+    assert out.columns == docs.columns
     by = {r["doc_id"]: r for r in out.collect()}
-    assert by[3]["text"] == "" and by[5]["text"] == rows[5][1] and by[0]["text"] is None and by[8]["n_chars"] == len(by[8]["text"])
-    assert all(brute_hits(by[i]["text"], items[:1])[1] == 0 for i in by if i is not None)
-    assert decontaminate.scan_documents(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
-    assert decontaminate.scan_documents(empty, bench).count() == 0
+    assert 3 not in by and set(by) == {i for i, (n, h, *_) in got.items() if not h or h < 0.8 * n}  # 3 is an item as a whole
+    assert by[5]["text"] == rows[5][1] and by[0]["text"] is None and by[8]["n_chars"] == len(by[8]["text"])
+    assert all(brute_hits(r["text"], items)[1] == 0 for r in by.values())
+    assert decontaminate.scan_documents(docs.select("text"), bench.limit(0)).where("size(spans) > 0").count() == 0
+    assert decontaminate.scan_documents(empty, bench).count() == 0 and decontaminate.remove_contamination(empty, bench).count() == 0
+
+
+def test_joined_ends_and_common_windows(spark):
+    bench = spark.createDataFrame([(1, "a b"), *[(k, "one same passage of ten words that many items have " * 2) for k in range(2, 40)]], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a a b b y z q r s t u v w"), (2, "so one same passage of ten words that many items have one")], "doc_id long, text string")
+    for block in (decontaminate.BLOCK_WINDOWS, 5):
+        got = {r["doc_id"]: r for r in decontaminate.scan_documents(docs, bench, block_windows=block).collect()}
+        assert len(got[2]["items"]) == 38 and got[2]["spans"][0]["s"] == 1
+        left = {r["doc_id"]: r["text"].split() for r in decontaminate.remove_contamination(docs, bench, block_windows=block).collect()}
+        assert left == {1: "x y z q r s t u v w".split()}

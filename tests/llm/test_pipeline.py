@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from loomgraph.llm import entry, neardup, secrets
+from loomgraph.llm import decontaminate, entry, neardup, secrets
 
 
 def view(con, data):
@@ -36,6 +36,11 @@ def test_stages(spark, data):
         out = spark.createDataFrame(out.collect(), start.schema)
         if name in ("quality_rules", "near_duplicates"):
             assert out.join(docs, start.columns, "left_anti").count() == 0  # rows are kept or go
+        elif name == "decontamination":
+            bench = spark.read.parquet(f"{data}/benchmark.parquet")
+            hit = lambda d: decontaminate.scan_documents(d.select("doc_id", "text"), bench).where("size(spans) > 0")
+            assert hit(out).count() == 0
+            assert docs.join(out, "doc_id", "left_anti").join(hit(docs), "doc_id", "left_anti").count() == 0  # only hit ones go
         else:
             assert out.count() == docs.count()
         docs = out
