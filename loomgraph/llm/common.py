@@ -70,9 +70,14 @@ def forget(*frames: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if path.startswith(shared_dir(spark)):
                 remove_path(spark, path)
-    gc.collect()
     if frames:
-        frames[0].sparkSession.sparkContext._jvm.System.gc()
+        collect_garbage(frames[0].sparkSession)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """The driver's Python and JVM let go of plans that nothing uses any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

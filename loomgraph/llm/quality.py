@@ -24,7 +24,7 @@ than doc_id, text, lang and source pass through untouched.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import durable, table
+from loomgraph.llm.common import collect_garbage, durable, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS, UPPER = r"[#*$%&|<>]", "[A-Z]"
@@ -37,7 +37,7 @@ LEAST, NOISE = (0.04, 0.03, 0.06, 0.12, 0.12), (0.6, 0.4, 0.6, 0.6, 0.6)
 #: Rows by whose weight the wider estimate enters.
 SHRINK = 100
 #: A fall of the logarithm of the determinant by less than this is none.
-FALL = 1e-3
+FALL = 1e-2
 #: Chi-square with 5 degrees of freedom: 1e-7 of clean texts lie beyond LIMIT, 0.025 beyond NEAR; what covariances of a half,
 #: and of all within NEAR, lack of the full one.
 LIMIT, NEAR, HALF_FACTOR, NEAR_FACTOR = 40.9, 12.833, 1.912, 1.0555
@@ -146,9 +146,10 @@ def scored(out: DataFrame) -> DataFrame:
     return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))).drop(*[f"y{i}" for i in range(P)])
 
 
-def sums() -> dict[str, Column]:
-    pairs = {f"s{i}{j}": F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(P) for j in range(i + 1)}
-    return {"n": F.count("*")} | {f"s{i}": F.sum(f) for i, f in enumerate(FEATURES)} | pairs
+def terms() -> dict[str, Column]:
+    """What the moments sum: a row's count, features and their products."""
+    pairs = {f"s{i}{j}": F.col(FEATURES[i]) * F.col(FEATURES[j]) for i in range(P) for j in range(i + 1)}
+    return {"n": F.lit(1).cast("long")} | {f"s{i}": F.col(f) for i, f in enumerate(FEATURES)} | pairs
 
 
 def moments(out: DataFrame, factor: float) -> DataFrame:
@@ -166,14 +167,12 @@ def fitted(vectors: DataFrame, groups: DataFrame, fits: DataFrame) -> DataFrame:
 
 def concentrated(vectors: DataFrame, groups: DataFrame, fits: DataFrame) -> DataFrame:
     """key, start, m, l, det (logarithm) of the half-plus subset nearest by fits; of the last bin's rows each counts in part."""
-    bins = fitted(vectors, groups, fits).groupBy("key", "start", F.floor(F.log2(F.col("d2") + 1e-3) * BINS).cast("long").alias("bin")).agg(*[v.alias(k) for k, v in sums().items()])
+    bins = fitted(vectors, groups, fits).groupBy("key", "start", F.floor(F.log2(F.col("d2") + 1e-3) * BINS).cast("long").alias("bin")).agg(*[F.sum(v).alias(k) for k, v in terms().items()])
     w = Window.partitionBy("key", "start")
-    bins = bins.withColumns({"before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "h": F.floor((F.sum("n").over(w) + P + 1) / 2)})
-    bins = bins.withColumn("h", F.least("h", F.sum("n").over(w)))
-    whole, part = F.col("before") + F.col("n") <= F.col("h"), (F.col("h") - F.col("before")) / F.col("n")
-    cut = (F.col("before") < F.col("h")) & ~whole
-    total = lambda c: F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)) + F.coalesce(F.sum(F.when(cut, F.col(c) * part)), F.lit(0.0))
-    out = factored(moments(bins.groupBy("key", "start").agg(*[total(c).alias(c) for c in sums()]), HALF_FACTOR))
+    bins = bins.select("*", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("all"))
+    h = F.least(F.floor((F.col("all") + P + 1) / 2), F.col("all"))
+    bins = bins.withColumn("part", F.least((h - F.col("before")) / F.col("n"), F.lit(1.0))).where("part > 0")
+    out = factored(moments(bins.groupBy("key", "start").agg(*[F.sum(F.floor(F.col(c) * F.col("part") + 0.5)).alias(c) for c in terms()]), HALF_FACTOR))
     return out.withColumn("det", sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))).select("key", "start", "det", *FIT)
 
 
@@ -188,18 +187,13 @@ def estimate(vectors: DataFrame, groups: DataFrame) -> DataFrame:
         if fits.where("fell").isEmpty():
             break
         best = best.unionByName(fits.where("fell"))
+        collect_garbage(vectors.sparkSession)
     one = best.groupBy("key").agg(F.min_by(F.struct(*FIT), F.struct("det", "start")).alias("x")).select("key", F.lit(0).alias("start"), "x.*")
-    near = fitted(vectors, groups, durable(one, "best")).groupBy("key").agg(F.count("*").alias("rows"), *[F.sum(F.when(F.col("d2") <= NEAR, F.lit(1) if f is None else f).otherwise(0)).alias(k) for k, f in terms().items()])
+    near = fitted(vectors, groups, durable(one, "best")).groupBy("key").agg(F.count("*").alias("rows"), *[F.sum(F.when(F.col("d2") <= NEAR, v)).alias(k) for k, v in terms().items()])
     out = moments(near.where("n > 0"), NEAR_FACTOR)
     return out.select("key", F.col("rows").cast("double").alias("n"), *[c for c in out.columns if c[0] in "mc"])
 
 
-def terms() -> dict[str, Column | None]:
-    """What sums() sums; None counts rows."""
-    pairs = {f"s{i}{j}": F.col(FEATURES[i]) * F.col(FEATURES[j]) for i in range(P) for j in range(i + 1)}
-    return {"n": None} | {f"s{i}": F.col(f) for i, f in enumerate(FEATURES)} | pairs
-
-
 def shrunk(estimates: DataFrame, groups: DataFrame) -> DataFrame:
     """group_, m, c of every group: its own estimate, its language's and that of all rows, each drawn to the wider one."""
     names = [c for c in estimates.columns if c not in ("key", "n")]

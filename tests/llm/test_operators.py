@@ -437,11 +437,13 @@ def reference_estimates(groups):
 
     def half(x, m, low):
         bins = np.floor(np.log2(d2(x, m, low) + 1e-3) * quality.BINS)
-        h, w = min((len(x) + p + 1) // 2, len(x)), np.zeros(len(x))
+        h, n, s, ss = min((len(x) + p + 1) // 2, len(x)), 0, np.zeros(p), np.zeros((p, p))
         for b in np.unique(bins):
-            w[bins == b] = min(1, max(0, (h - (bins < b).sum()) / (bins == b).sum()))
-        m = (w @ x) / w.sum() / unit
-        low = factor(((w[:, None] * x).T @ x / w.sum() / unit**2 - np.outer(m, m)) * quality.HALF_FACTOR)
+            y = x[bins == b]
+            part = min(1, max(0, (h - n) / len(y)))
+            n, s, ss = n + np.floor(len(y) * part + 0.5), s + np.floor(y.sum(axis=0) * part + 0.5), ss + np.floor(y.T @ y * part + 0.5)
+        m = s / n / unit
+        low = factor((ss / n / unit**2 - np.outer(m, m)) * quality.HALF_FACTOR)
         return np.log(np.diag(low)).sum(), m, low
 
     def one(x):
