@@ -59,25 +59,24 @@ def durable(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     finally:
         if texts:
             spark.conf.set(BATCH, rows)
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """The driver's Python and JVM let go of plans that nothing uses any more, and executors of the shuffle files of
+    finished steps, which otherwise stay until the driver's heap happens to be full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(*frames: DataFrame) -> None:
-    """Deletes the tables of durable frames that nothing reads any more. The driver's garbage goes as well, and with it the
-    shuffle files of finished steps, which otherwise stay on the executors' disks until the driver happens to collect."""
+    """Deletes the tables of durable frames that nothing reads any more."""
     for df in frames:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if path.startswith(shared_dir(spark)):
                 remove_path(spark, path)
-    if frames:
-        collect_garbage(frames[0].sparkSession)
-
-
-def collect_garbage(spark: SparkSession) -> None:
-    """The driver's Python and JVM let go of plans that nothing uses any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

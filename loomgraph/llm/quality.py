@@ -24,7 +24,7 @@ than doc_id, text, lang and source pass through untouched.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import collect_garbage, durable, table
+from loomgraph.llm.common import durable, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS, UPPER = r"[#*$%&|<>]", "[A-Z]"
@@ -44,7 +44,9 @@ LIMIT, NEAR, HALF_FACTOR, NEAR_FACTOR = 40.9, 12.833, 1.912, 1.0555
 #: Features are whole numbers of 1 / UNIT, up to MOST; their histograms' bins are WIDTH wide; distance bins a doubling.
 UNIT, MOST, WIDTH, BINS = 2048, 16.0, 4, 24
 P = len(FEATURES)
-FIT = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
+#: Lower triangles are arrays by rows: row and column of each place, the place where each row begins.
+PLACES = [(i, j) for i in range(P) for j in range(i + 1)]
+ROW, COLUMN, BEGIN = [i for i, _ in PLACES], [j for _, j in PLACES], [i * (i + 1) // 2 for i in range(P)]
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -117,33 +119,52 @@ def starts(vectors: DataFrame) -> DataFrame:
         return at.join(quantile(off, 0.5).withColumnRenamed("at", "mad"), ["key", "k"])
 
     made = [spread(half), spread(low), half.withColumn("mad", F.lit(0).cast("long"))]
-    rows = [x.select("key", F.lit(i).alias("start"), "k", ((F.col("at") + 0.5) * WIDTH / UNIT).alias("m"), (F.col("mad") * 1.4826 * WIDTH / UNIT).alias("s")) for i, x in enumerate(made)]
-    wide = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("key", "start").pivot("k", list(range(P))).agg(F.first("m").alias("m"), F.first("s").alias("s"))
-    factor = {f"l{i}{j}": F.greatest(F.col(f"{i}_s"), F.lit(LEAST[i])) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
-    return wide.select("key", "start", *[F.col(f"{i}_m").alias(f"m{i}") for i in range(P)], *[v.alias(k) for k, v in factor.items()])
+    rows = [x.select("key", F.lit(i).alias("start"), F.struct("k", ((F.col("at") + 0.5) * WIDTH / UNIT).alias("m"), (F.col("mad") * 1.4826 * WIDTH / UNIT).alias("s")).alias("f")) for i, x in enumerate(made)]
+    each = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("key", "start").agg(F.sort_array(F.collect_list("f")).alias("f"))  # one a feature
+    least = F.array(*map(F.lit, LEAST))
+    diagonal = lambda t: F.when(of(ROW, t) == of(COLUMN, t), 1 / F.greatest(F.get("f", of(ROW, t))["s"], F.get(least, of(ROW, t)))).otherwise(0.0)
+    return each.select("key", "start", F.transform("f", lambda x: x["m"]).alias("m"), F.transform(places(), diagonal).alias("w"))
 
 
-def factored(out: DataFrame, more: list | None = None) -> DataFrame:
-    """out with l, the lower Cholesky factor of the covariance c plus LEAST (and `more`) on its diagonal."""
+def places() -> Column:
+    return F.sequence(F.lit(0), F.lit(len(PLACES) - 1))
+
+
+def of(values: list[int], i: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), i)
+
+
+def cholesky(c: Column, diagonal: Column) -> Column:
+    """The lower factor of the covariance c with `diagonal` added to its diagonal."""
+
+    def step(done, t):
+        i, j = of(ROW, t), of(COLUMN, t)
+        products = F.zip_with(F.slice(done, of(BEGIN, i) + 1, j), F.slice(done, of(BEGIN, j) + 1, j), lambda a, b: a * b)
+        rest = F.get(c, t) - F.aggregate(products, F.lit(0.0), lambda a, b: a + b) + F.when(i == j, F.get(diagonal, i)).otherwise(0.0)
+        return F.concat(done, F.array(F.when(i == j, F.sqrt(F.greatest(rest, F.lit(1e-12)))).otherwise(rest / F.get(done, of(BEGIN, j) + j))))
+
+    return F.aggregate(places(), F.array().cast("array<double>"), step)
+
+
+def inverse(low: Column) -> Column:
+    """The inverse of a lower factor."""
+
+    def step(done, t):
+        i, j = of(ROW, t), of(COLUMN, t)
+        inner = F.aggregate(F.sequence(j, i - 1), F.lit(0.0), lambda a, k: a + F.get(low, of(BEGIN, i) + k) * F.get(done, of(BEGIN, k) + j))
+        own = F.get(low, of(BEGIN, i) + i)
+        return F.concat(done, F.array(F.when(i == j, 1 / own).otherwise(-F.when(j < i, inner) / own)))
+
+    return F.aggregate(places(), F.array().cast("array<double>"), step)
+
+
+def distance() -> Column:
+    """The squared Mahalanobis distance of the features from m, by the inverse factor w."""
+    y = []
     for i in range(P):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (LEAST[i] ** 2 if i == j else 0.0)
-            if i == j and more:
-                rest = rest + more[i]
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out
-
-
-def scored(out: DataFrame) -> DataFrame:
-    """out (features, m, l) with d2, the squared Mahalanobis distance."""
-    for i, f in enumerate(FEATURES):
-        y = F.col(f) / UNIT - F.col(f"m{i}")
-        for j in range(i):
-            y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))).drop(*[f"y{i}" for i in range(P)])
+        parts = [F.get("w", F.lit(i * (i + 1) // 2 + j)) * (F.col(FEATURES[j]) / UNIT - F.get("m", F.lit(j))) for j in range(i + 1)]
+        y.append(sum(parts[1:], parts[0]))
+    return sum((x * x for x in y[1:]), y[0] * y[0])
 
 
 def terms() -> dict[str, Column]:
@@ -153,27 +174,29 @@ def terms() -> dict[str, Column]:
 
 
 def moments(out: DataFrame, factor: float) -> DataFrame:
-    """out (n, s) with means m and covariances c, times factor."""
+    """out (terms) with means m and covariance c, times factor."""
     n = F.col("n").cast("double")
-    out = out.withColumns({f"m{i}": F.col(f"s{i}") / n / UNIT for i in range(P)})
-    return out.withColumns({f"c{i}{j}": (F.col(f"s{i}{j}") / n / UNIT / UNIT - F.col(f"m{i}") * F.col(f"m{j}")) * factor for i in range(P) for j in range(i + 1)})
+    out = out.withColumn("m", F.array(*[F.col(f"s{i}") / n / UNIT for i in range(P)]))
+    return out.withColumn("c", F.array(*[(F.col(f"s{i}{j}") / n / UNIT / UNIT - F.get("m", F.lit(i)) * F.get("m", F.lit(j))) * factor for i, j in PLACES]))
 
 
 def fitted(vectors: DataFrame, groups: DataFrame, fits: DataFrame) -> DataFrame:
-    """A row for each vector and estimate (key, start, m, l) that its group counts for, with d2."""
-    of = groups.join(fits.select("key", "start", *FIT), "key").groupBy("group_").agg(F.collect_list(F.struct("key", "start", *FIT)).alias("fits"))  # three levels, three starts
-    return scored(vectors.join(of, "group_").select(*FEATURES, F.explode("fits").alias("f")).select(*FEATURES, "f.*"))
+    """A row for each vector and estimate (key, start, m, w) that its group counts for, with d2."""
+    by_group = groups.join(fits.select("key", "start", "m", "w"), "key").groupBy("group_").agg(F.collect_list(F.struct("key", "start", "m", "w")).alias("fits"))  # three levels, three starts
+    return vectors.join(by_group, "group_").select(*FEATURES, F.explode("fits").alias("f")).select(*FEATURES, "f.*").withColumn("d2", distance())
 
 
 def concentrated(vectors: DataFrame, groups: DataFrame, fits: DataFrame) -> DataFrame:
-    """key, start, m, l, det (logarithm) of the half-plus subset nearest by fits; of the last bin's rows each counts in part."""
+    """key, start, m, w, det (logarithm) of the half-plus subset nearest by fits; of the last bin's rows each counts in part."""
     bins = fitted(vectors, groups, fits).groupBy("key", "start", F.floor(F.log2(F.col("d2") + 1e-3) * BINS).cast("long").alias("bin")).agg(*[F.sum(v).alias(k) for k, v in terms().items()])
     w = Window.partitionBy("key", "start")
     bins = bins.select("*", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("all"))
     h = F.least(F.floor((F.col("all") + P + 1) / 2), F.col("all"))
     bins = bins.withColumn("part", F.least((h - F.col("before")) / F.col("n"), F.lit(1.0))).where("part > 0")
-    out = factored(moments(bins.groupBy("key", "start").agg(*[F.sum(F.floor(F.col(c) * F.col("part") + 0.5)).alias(c) for c in terms()]), HALF_FACTOR))
-    return out.withColumn("det", sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))).select("key", "start", "det", *FIT)
+    out = moments(bins.groupBy("key", "start").agg(*[F.sum(F.floor(F.col(c) * F.col("part") + 0.5)).alias(c) for c in terms()]), HALF_FACTOR)
+    out = out.select("key", "start", "m", cholesky(F.col("c"), F.array(*[F.lit(x * x) for x in LEAST])).alias("l"))
+    det = F.aggregate(F.sequence(F.lit(0), F.lit(P - 1)), F.lit(0.0), lambda a, i: a + F.log(F.get("l", of(BEGIN, i) + i)))
+    return out.select("key", "start", "m", inverse(F.col("l")).alias("w"), det.alias("det"))
 
 
 def estimate(vectors: DataFrame, groups: DataFrame) -> DataFrame:
@@ -187,23 +210,23 @@ def estimate(vectors: DataFrame, groups: DataFrame) -> DataFrame:
         if fits.where("fell").isEmpty():
             break
         best = best.unionByName(fits.where("fell"))
-        collect_garbage(vectors.sparkSession)
-    one = best.groupBy("key").agg(F.min_by(F.struct(*FIT), F.struct("det", "start")).alias("x")).select("key", F.lit(0).alias("start"), "x.*")
+    one = best.groupBy("key").agg(F.min_by(F.struct("m", "w"), F.struct("det", "start")).alias("x")).select("key", F.lit(0).alias("start"), "x.*")
     near = fitted(vectors, groups, durable(one, "best")).groupBy("key").agg(F.count("*").alias("rows"), *[F.sum(F.when(F.col("d2") <= NEAR, v)).alias(k) for k, v in terms().items()])
-    out = moments(near.where("n > 0"), NEAR_FACTOR)
-    return out.select("key", F.col("rows").cast("double").alias("n"), *[c for c in out.columns if c[0] in "mc"])
+    return moments(near.where("n > 0"), NEAR_FACTOR).select("key", F.col("rows").cast("double").alias("n"), "m", "c")
 
 
 def shrunk(estimates: DataFrame, groups: DataFrame) -> DataFrame:
     """group_, m, c of every group: its own estimate, its language's and that of all rows, each drawn to the wider one."""
-    names = [c for c in estimates.columns if c not in ("key", "n")]
-    keys = groups.groupBy("group_").agg(F.collect_list("key").alias("keys")).select("group_", levels().alias("keys"))
-    out = keys
+    out = groups.select("group_").distinct().withColumn("keys", levels())
     for i, tag in enumerate("gla"):
-        tagged = estimates.select(F.col("key").alias(f"key_{tag}"), F.col("n").alias(f"n_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in names])
+        tagged = estimates.select(F.col("key").alias(f"key_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in "nmc"])
         out = out.withColumn(f"key_{tag}", F.col("keys")[i]).join(tagged, f"key_{tag}")
-    towards = lambda c, tag, wider: (F.col(f"n_{tag}") * F.col(f"{c}_{tag}") + SHRINK * wider) / (F.col(f"n_{tag}") + SHRINK)
-    return out.select("group_", *[towards(c, "g", towards(c, "l", F.col(f"{c}_a"))).alias(c) for c in names])
+
+    def drawn(c: str, tag: str, wider: Column) -> Column:
+        n = F.col(f"n_{tag}")
+        return F.zip_with(F.col(f"{c}_{tag}"), wider, lambda a, b: (n * a + SHRINK * b) / (n + SHRINK))
+
+    return out.select("group_", *[drawn(c, "g", drawn(c, "l", F.col(f"{c}_a"))).alias(c) for c in "mc"])
 
 
 def outliers(counts: DataFrame) -> DataFrame:
@@ -211,9 +234,10 @@ def outliers(counts: DataFrame) -> DataFrame:
     vectors = durable(judged(counts).where("NOT base_failed").select("group_", *FEATURES), "vectors")
     groups = durable(vectors.select("group_").distinct().select("group_", F.explode(levels()).alias("key")), "groups")
     fit = durable(shrunk(durable(estimate(vectors, groups), "estimates"), groups), "shrunk")
-    noise = [F.lit(s * s) / F.greatest("n_words", F.lit(1)) for s in NOISE]
-    out = scored(factored(judged(counts).join(fit, "group_", "left"), noise)).drop(*FIT, *[c for c in fit.columns if c != "group_"])
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > LIMIT, F.lit(False))).drop("group_", *FEATURES)
+    out = judged(counts).join(fit, "group_", "left")
+    spread = F.array(*[F.lit(x * x) + F.lit(s * s) / F.greatest("n_words", F.lit(1)) for x, s in zip(LEAST, NOISE)])
+    out = out.withColumn("l", cholesky(F.col("c"), spread)).withColumn("w", inverse(F.col("l"))).withColumn("d2", distance())
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > LIMIT, F.lit(False))).drop("group_", "m", "c", "l", "w", *FEATURES)
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:

@@ -485,8 +485,8 @@ def test_estimates_equal_numpy(spark):
     keys = vectors.select("group_").distinct().selectExpr("*").select("group_", quality.F.explode(quality.levels()).alias("key"))
     got = {r["group_"]: r for r in quality.shrunk(quality.estimate(vectors, keys), keys).collect()}
     for g, (m, c) in reference_estimates(groups).items():
-        assert [got[g][f"m{i}"] for i in range(5)] == pytest.approx(m.tolist(), abs=1e-9)
-        assert [got[g][f"c{i}{j}"] for i in range(5) for j in range(i + 1)] == pytest.approx([c[i, j] for i in range(5) for j in range(i + 1)], abs=1e-9)
+        assert got[g]["m"] == pytest.approx(m.tolist(), abs=1e-9)
+        assert got[g]["c"] == pytest.approx([c[i, j] for i in range(5) for j in range(i + 1)], abs=1e-9)
 
 
 # ---- 10
