@@ -250,8 +250,8 @@ def shard_repeats(d: np.ndarray, x: np.ndarray, n: np.ndarray, texts: list[bytes
     of = np.repeat(np.arange(len(texts)), sizes)
     within = np.arange(len(data)) - starts[of]
     wanted = within < n[of]
-    # texts may hold any byte, so the byte between them is told apart by its place: no wanted prefix of `length` reaches it
-    prefix = common_prefixes(data, sa, wanted, int(sizes.max()))
+    # over letters, not bytes: what stands between texts equals no byte of a text, so no wanted prefix of `length` meets it
+    prefix = common_prefixes(letters, sa, wanted, int(sizes.max()))
     ordered = sa[wanted[sa]]
     group = np.concatenate(([True], prefix[ordered[1:]] < length))
     group[0] = True

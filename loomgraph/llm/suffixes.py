@@ -150,13 +150,13 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return induced_by_buckets(t, small, order) if int(t.max()) < SCANNED else induced_by_chains(t, small, order)
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, sa: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
     """For each wanted position the length (at most `most` at its start's distance) of the prefix that its suffix shares
     with the one before it in the suffix array; positions that aren't wanted get 0.
 
     Permuted order: a position whose predecessor continues the same match needs no comparison, its prefix is one
-    shorter. The others, beginnings of stretches of wanted positions among them, are compared
-    eight bytes at a time."""
+    shorter. The others, beginnings of stretches of wanted positions among them, are compared four symbols (of 16 bits) at
+    a time."""
     n = len(sa)
     before = np.empty(n, np.int64)
     before[sa[1:]] = sa[:-1]
@@ -165,19 +165,19 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, wanted: np.ndarray, most:
     phi = before[at]
     left = (at > 0) & (phi > 0)
     same = np.zeros(len(at), bool)
-    same[left] = data[at[left] - 1] == data[phi[left] - 1]
+    same[left] = symbols[at[left] - 1] == symbols[phi[left] - 1]
     follows = np.concatenate(([False], at[1:] == at[:-1] + 1)) & same
     follows[1:] &= phi[1:] == phi[:-1] + 1
     heads = np.flatnonzero(~follows)
-    padded = np.concatenate((data, np.zeros(most + 16, np.uint8)))
-    words = np.ndarray((len(padded) - 7,), "<u8", padded.tobytes(), strides=(1,))
+    padded = np.concatenate((symbols.astype("<u2"), np.zeros(most + 16, "<u2")))
+    words = np.ndarray((len(padded) - 3,), "<u8", padded.tobytes(), strides=(2,))
     a, b = at[heads], phi[heads]
     length = np.zeros(len(heads), np.int64)
     live = np.flatnonzero(b >= 0)
-    for done in range(0, most, 8):
+    for done in range(0, most, 4):
         x = words[a[live] + done] ^ words[b[live] + done]
         off = x != 0
-        length[live[off]] = done + np.bitwise_count((x[off] & (~x[off] + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8
+        length[live[off]] = done + np.bitwise_count((x[off] & (~x[off] + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 16
         live = live[~off]
         if not len(live):
             break

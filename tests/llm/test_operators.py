@@ -82,6 +82,30 @@ def test_common_prefixes():
             assert got[sa[i]] == n
 
 
+@pytest.mark.parametrize("alphabet", [b"ab", b"\0ab", b"\0a", b"\0\1\2", b"\xff\0"])
+def test_repeats_of_any_bytes(alphabet):
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = [bytes(rng.choice(alphabet) for _ in range(rng.randint(4, 25))) for _ in range(rng.randint(1, 6))]
+        n = np.array([len(t) - 3 for t in texts])
+        found = repeats.shard_repeats(np.arange(len(texts)), np.zeros(len(texts), np.int64), n, texts, 4)
+        seen, late = set(), set()
+        for k, t in enumerate(texts):
+            for p in range(len(t) - 3):
+                late |= {(k, p)} if t[p : p + 4] in seen else set()
+                seen.add(t[p : p + 4])
+        assert {(k, p) for k, a, b in found.tolist() for p in range(a, b + 1)} == late
+
+
+def test_repeats_of_wide_characters(spark):
+    rng = random.Random(13)
+    shared = prose(rng, 60)
+    texts = ["".join(c + "\0" for c in prose(rng, 30) + shared[rng.randint(0, 40) :] + prose(rng, 30)) for _ in range(40)] + ["\0" * 400, "a" + "\0" * 150]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(frame).collect()}
+    assert [by[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts])
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_repeats(spark, docs, rows, monkeypatch, hot):
     if hot:  # the way of anchors with many stretches
