@@ -235,9 +235,19 @@ def outliers(counts: DataFrame) -> DataFrame:
     groups = durable(vectors.select("group_").distinct().select("group_", F.explode(levels()).alias("key")), "groups")
     fit = durable(shrunk(durable(estimate(vectors, groups), "estimates"), groups), "shrunk")
     out = judged(counts).join(fit, "group_", "left")
-    spread = F.array(*[F.lit(x * x) + F.lit(s * s) / F.greatest("n_words", F.lit(1)) for x, s in zip(LEAST, NOISE)])
-    out = out.withColumn("l", cholesky(F.col("c"), spread)).withColumn("w", inverse(F.col("l"))).withColumn("d2", distance())
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > LIMIT, F.lit(False))).drop("group_", "m", "c", "l", "w", *FEATURES)
+    # a factor and a solve a row, in plain columns: the covariance is the row's own
+    for t, (i, j) in enumerate(PLACES):
+        rest = F.get("c", F.lit(t)) + (F.lit(LEAST[i] ** 2) + F.lit(NOISE[i] ** 2) / F.greatest("n_words", F.lit(1)) if i == j else F.lit(0.0))
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    for i, f in enumerate(FEATURES):
+        y = F.col(f) / UNIT - F.get("m", F.lit(i))
+        for j in range(i):
+            y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
+        out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
+    out = out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))).drop(*[f"l{i}{j}" for i, j in PLACES], *[f"y{i}" for i in range(P)])
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > LIMIT, F.lit(False))).drop("group_", "m", "c", *FEATURES)
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
