@@ -95,7 +95,8 @@ class Graph:
 
     def has_edges(self, pairs: DataFrame) -> DataFrame:
         """pairs (src, dst) with `present`."""
-        have = self.edges.select("src", "dst", F.lit(True).alias("present")).distinct()
+        asked = pairs.select("src", "dst").distinct()  # the small side first
+        have = self.edges.select("src", "dst").join(asked, ["src", "dst"], "left_semi").distinct().withColumn("present", F.lit(True))
         return pairs.join(have, ["src", "dst"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
     def transitions(self) -> DataFrame:
@@ -118,19 +119,28 @@ class Graph:
     def both_ways(self, pairs: DataFrame) -> DataFrame:
         return pairs if self.spec.directed else symmetric(pairs)
 
+    def firsts(self, pairs: DataFrame) -> DataFrame:
+        """pairs (src, dst, [w], [seq]) with `present` and `first`: of an edge that is told several times (in an undirected
+        graph either way round) the first by seq, or by src, dst and w; self-loops never."""
+        ends = [F.least("src", "dst"), F.greatest("src", "dst")] if not self.spec.directed else ["src", "dst"]
+        order = ["seq"] if "seq" in pairs.columns else ["src", "dst"] + ["w"] * ("w" in pairs.columns)
+        rank = F.row_number().over(Window.partitionBy(*ends).orderBy(*order))
+        return self.has_edges(pairs).withColumn("first", (rank == 1) & (F.col("src") != F.col("dst")))
+
     def insert(self, pairs: DataFrame) -> tuple["Graph", DataFrame]:
-        """The graph with new edges (src, dst, [w]), and per pair how many rows came: 0 if it was there, else 1 or 2."""
+        """The graph with new edges (src, dst, [w], [seq]), and per pair how many rows came: 0 if it was there or told
+        before, else 1 or 2."""
         if "w" not in pairs.columns:
             pairs = pairs.withColumn("w", F.lit(1.0))
-        new = pairs.join(self.edges.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w")
-        each = 1 if self.spec.directed else 2
-        told = self.has_edges(pairs.select("src", "dst")).select("src", "dst", F.when(F.col("present"), 0).otherwise(each).alias("inserted"))
-        return self.with_edges(self.edges.unionByName(self.both_ways(new))), told
+        rows = self.firsts(pairs).withColumn("new", F.col("first") & ~F.col("present"))
+        told = rows.withColumn("inserted", F.when(F.col("new"), 1 if self.spec.directed else 2).otherwise(0)).drop("w", "present", "first", "new")
+        return self.with_edges(self.edges.unionByName(self.both_ways(rows.where("new").select("src", "dst", "w")))), told
 
     def remove(self, pairs: DataFrame) -> tuple["Graph", DataFrame]:
-        """The graph without edges (src, dst), and per pair how many rows went: 0, 1 or 2."""
-        each = 1 if self.spec.directed else 2
-        told = self.has_edges(pairs.select("src", "dst")).select("src", "dst", F.when(F.col("present"), each).otherwise(0).alias("removed"))
+        """The graph without edges (src, dst, [seq]), and per pair how many rows went: 0 if it wasn't there or was told
+        before, else 1 or 2."""
+        rows = self.firsts(pairs.drop("w"))
+        told = rows.withColumn("removed", F.when(F.col("first") & F.col("present"), 1 if self.spec.directed else 2).otherwise(0)).drop("present", "first")
         gone = self.both_ways(pairs.select("src", "dst").withColumn("w", F.lit(0.0))).select("src", "dst").distinct()
         return self.with_edges(self.edges.join(gone, ["src", "dst"], "left_anti")), told
 

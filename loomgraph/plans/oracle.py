@@ -194,3 +194,25 @@ ORACLE = {
     f"adjust_{name}": R + closed(SHOP + NODES + STEPS + SHARE + GIVEN + ppr("pv", K) + steered(s)) + f"SELECT node, {num('val', '1e9')} AS val FROM z"
     for name, s in (("minus", "(-0.5)"), ("zero", "0.0"), ("plus", "0.5"))
 }
+
+ONE = "g AS (SELECT 3 AS node, 1.0::DOUBLE AS val), "
+TOLD = PAIRS + """told AS (SELECT src AS seq, src, dst, w FROM pr UNION ALL SELECT src + 1099511627776, dst, src, 9.0 FROM pr UNION ALL SELECT src + 2199023255552, src, src, w FROM pr), """
+IN_E = "(src, dst) IN (SELECT (src, dst) FROM e)"
+ORACLE |= {
+    "edge_text_scan": ORACLE["self_loop_drop_transitions"],
+    "header_scan": "SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM customer) AS n, false AS directed, true AS dynamic, true AS weighted, true AS bipartite, (SELECT count(*) FROM part) AS item_count",
+    "title_scan": "SELECT p_partkey AS id, p_name || ' #' || p_partkey AS title FROM part",
+    "source_list": "SELECT row_number() OVER (ORDER BY p_partkey DESC) - 1 AS seq, p_partkey AS id FROM part QUALIFY row_number() OVER (ORDER BY p_partkey DESC) <= 1000",
+    "exact_scan": "SELECT p_partkey % 3 AS src, p_partkey AS dst, p_size / 4.0::DOUBLE AS ppr FROM part WHERE p_partkey % 3 <> 1",
+    "snapshot_round_trip": ORACLE["edge_build_first_wins"],
+    "node_table": "WITH " + closed(SHOP + NODES + SHARE + CATALOG) + "SELECT id, name, title_ja, ranking, year FROM names",
+    "strict_build": "WITH " + closed(MOVES) + "SELECT src, dst, 1.0::DOUBLE AS w FROM e",
+    "empty_graph": "SELECT p_partkey AS node, CAST(0 AS BIGINT) AS degree FROM part",
+    "insert_repeated": "WITH " + closed(SHOP + TOLD) + f"SELECT seq, src, dst, CASE WHEN seq < 1099511627776 AND NOT {IN_E} THEN 2 ELSE 0 END AS inserted, CASE WHEN src <> dst THEN 1 END AS rows FROM told",
+    "remove_repeated": "WITH " + closed(SHOP + TOLD) + f"SELECT seq, src, dst, CASE WHEN seq < 1099511627776 AND {IN_E} THEN 2 ELSE 0 END AS removed FROM told",
+    "fora_single": ORACLE["fora"].replace(GIVEN, ONE),
+    "fora_full_path_single": ORACLE["fora_full_path"].replace(GIVEN, ONE),
+    "fora_full_path_unweighted": ORACLE["fora_full_path"].replace(STEPS, UNIFORM).replace(SLICES, SLOTS),
+    "stationary_unweighted": pagerank(MOVES, "", UNIFORM, 0.0),
+    "suggest_short": "SELECT CAST(1 AS INTEGER) AS rk, p_name AS title, p_size AS year FROM part WHERE false",
+}

@@ -1,13 +1,16 @@
 """The registered queries over the test tables; each takes (spark, directory)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import explain, scalars
 from loomgraph.operators import catalog, centrality, metrics, ppr, ranking, vectors, walks
-from loomgraph.operators.graph import cumulative, directed_by_name, slots
-from loomgraph.operators.iterate import cut
+from loomgraph.operators.graph import Graph, GraphSpec, cumulative, directed_by_name, slots
+from loomgraph.operators.iterate import cut, scratch
 from loomgraph.plans import fixtures as fx
 from loomgraph.plans.engine import Engine, canonical
+from loomgraph.sources import files
 from loomgraph.sources.files import as_json, edge_lines, parse_requests, score_lines
 from loomgraph.streaming.requests import latest_wins
 
@@ -413,6 +416,110 @@ def slider_clamp(spark, d):  # A8
     return cust.select("c_custkey", scalars.clamp_slider(x).alias("c"))
 
 
+# ---- files: what a query writes it reads back
+
+
+def written(lines):
+    """The path of a new folder of text files with these lines (value)."""
+    path = f"{scratch(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+def edge_text_scan(spark, d):  # S2 S3
+    looped = fx.moves(spark, d).edges.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("src").cast("string"), F.lit("1.0")).alias("value"))
+    return files.read_edges(spark, written(edge_lines(fx.moves(spark, d)).unionByName(looped))).select("src", "dst", "w")
+
+
+def header_scan(spark, d):  # S1 S10 G20
+    p, n, _ = fx.sizes(spark, d)
+    lines = lambda *x: written(spark.createDataFrame([(v,) for v in x], "value string"))
+    spec = files.read_spec(spark, lines(f"n {p + n}", "is_directed false", "is_dynamic true", "is_weighted true", "is_bipartite true"), lines("type1 item", "type2 user", f"type1_count {p}"))
+    return spark.createDataFrame([(spec.n, spec.directed, spec.dynamic, spec.weighted, spec.bipartite, spec.item_count)], "n long, directed boolean, dynamic boolean, weighted boolean, bipartite boolean, item_count long")
+
+
+def title_scan(spark, d):  # S9
+    lines = fx.read(spark, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(" "), "p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("value"))
+    return files.read_titles(spark, written(lines))
+
+
+def source_list(spark, d):  # S11
+    ids = fx.read(spark, d, "part").orderBy(F.col("p_partkey").desc()).select(F.col("p_partkey").cast("string").alias("value"))
+    return files.read_sources(spark, written(ids)).select(F.col("seq").cast("long").alias("seq"), "id")
+
+
+def exact_scan(spark, d):  # S12
+    rows = fx.read(spark, d, "part").select(F.concat_ws(" ", (F.col("p_partkey") % 3).cast("string"), F.col("p_partkey").cast("string"), (F.col("p_size") / 4).cast("string")).alias("value"))
+    return files.read_exact(spark, written(rows), spark.createDataFrame([(0,), (2,)], "id long"), prefix=False)
+
+
+def snapshot_round_trip(spark, d):  # S7 S8
+    g = fx.shop(spark, d)
+    path = f"{scratch(spark)}/snapshot-{uuid.uuid4().hex}"
+    files.write_snapshot(g, path)
+    return files.read_snapshot(spark, path, g.spec).edges
+
+
+def node_table(spark, d):  # S13
+    path = f"{scratch(spark)}/nodes-{uuid.uuid4().hex}"
+    fx.nodes(spark, d, fx.shop(spark, d)).write.parquet(path)
+    return files.read_nodes(spark, path).select("id", "name", "title_ja", "ranking", "year")
+
+
+def strict_build(spark, d):  # S4
+    rows = fx.moves(spark, d).edges.select("src", "dst")
+    return Graph.build(rows, GraphSpec(n=1 << 20, directed=True, weighted=False)).edges
+
+
+def empty_graph(spark, d):  # S6
+    g = Graph.empty(spark, GraphSpec(n=fx.sizes(spark, d)[0]))
+    return g.degrees().select("node", F.col("degree").cast("long").alias("degree"))
+
+
+# ---- repeated pairs, single sources, unweighted variants
+
+
+def told_pairs(spark, d):
+    """pairs, then the same the other way round, then self-loops."""
+    p = pairs(spark, d)
+    n = F.lit(1 << 40)
+    again = p.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(9.0).alias("w"), (F.col("src") + n).alias("seq"))
+    loops = p.select("src", F.col("src").alias("dst"), "w", (F.col("src") + 2 * n).alias("seq"))
+    return p.withColumn("seq", F.col("src")).unionByName(again).unionByName(loops)
+
+
+def insert_repeated(spark, d):  # G6 G7
+    g, told = fx.shop(spark, d).insert(told_pairs(spark, d))
+    rows = g.edges.groupBy("src", "dst").agg(F.count("*").alias("rows"))  # 1 each
+    return told.select("seq", "src", "dst", "inserted").join(rows, ["src", "dst"], "left")
+
+
+def remove_repeated(spark, d):  # G8 G9
+    return fx.shop(spark, d).remove(told_pairs(spark, d))[1].select("seq", "src", "dst", "removed")
+
+
+def fora_single(spark, d):  # P4
+    one = spark.createDataFrame([(3, 1.0)], "node long, val double")
+    return ppr.fora(fx.shop(spark, d).persist(), one, 2000, max_rounds=40, max_steps=40).select("node", c("val", s=1e9))
+
+
+def fora_full_path_single(spark, d):  # P9
+    one = spark.createDataFrame([(3, 1.0)], "node long, val double")
+    return ppr.full_path(fx.shop(spark, d).persist(), one, 2000, max_rounds=40, max_steps=40).select("node", c("val", s=1e9))
+
+
+def fora_full_path_unweighted(spark, d):  # P6
+    return ppr.full_path(fx.shop(spark, d).persist(), ppr.normalised(fx.sources(spark)), 2000, weighted=False, max_rounds=40, max_steps=40).select("node", c("val", s=1e9))
+
+
+def stationary_unweighted(spark, d):  # P12
+    return centrality.pagerank(fx.moves(spark, d).persist(), 0.0, False, K).values.select("node", c("val"))
+
+
+def suggest_short(spark, d):  # A4
+    return catalog.suggest(fx.nodes(spark, d, fx.shop(spark, d)), "R")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -425,5 +532,7 @@ QUERIES = {
         dcg, ndcg, spearman_topk, ap_corr, ap_corr_compat, ap_symmetric, time_stamps,
         suggest_prefix, suggest_substring, suggest_ja, name_lookup, known_names, metadata_join, display_label,
         explain_offline, prompt_text, json_requests, latest_adjust, session_key, slider_clamp,
+        edge_text_scan, header_scan, title_scan, source_list, exact_scan, snapshot_round_trip, node_table, strict_build, empty_graph,
+        insert_repeated, remove_repeated, fora_single, fora_full_path_single, fora_full_path_unweighted, stationary_unweighted, suggest_short,
     )
 } | {"adjust_minus": adjusted(-0.5), "adjust_zero": adjusted(0.0), "adjust_plus": adjusted(0.5)}  # fmt: skip  # V8

@@ -11,8 +11,9 @@ REQUEST = "type string, userKey string, queries array<struct<id: bigint, w: doub
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and seq, which rises in file order."""
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
+    """value and seq, which rises by file name and then by place in the file, however files are split."""
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")]
+    return spark.read.text(path).select("value", F.struct(*where).alias("seq"))
 
 
 def header(spark: SparkSession, path: str, keys: set[str]) -> dict[str, str]:
