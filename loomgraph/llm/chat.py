@@ -9,6 +9,10 @@ Scale: a conversation is never gathered in one row or task. Places come from sum
 turn, parts of a span of turns, spans of a conversation), so that a conversation of any length is spread; the join of
 turns with participants has few rows on its right and can be split where a conversation is hot.
 
+Marks are kept apart from words: within texts and names `<|` becomes `<\\|` (and `<\\|` becomes `<\\\\|`, so that it can be
+undone), and within names a line end or carriage return is written as `\\n` or `\\r` and a backslash doubled. So no text opens
+or closes a turn, in any perspective. The output has a row for each pair of a turn and a participant: that is its size.
+
 Defined results: speakers named system stay system and have no perspective; a null role is the speaker "unknown"; null
 texts render as empty; turns are ordered by number (null first), then by the MD5 of role and text; repeated rows are
 rendered as often as they stand there; a conversation of system turns alone has no perspective and gives no rows; null
@@ -24,6 +28,18 @@ SPAN = 256
 SYSTEM, UNKNOWN = "system", "unknown"
 
 
+def apart(c):
+    """A text without the marks of turns."""
+    return F.regexp_replace(c, r"<(\\*)\|", r"<\\$1|")
+
+
+def shown(c):
+    """A speaker's name on the one line of a head."""
+    for raw, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(raw), F.lit(written))
+    return apart(c)
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, position, role, name, segment, mask_start, mask_end (code points in the segment), char_start."""
     turns = conversations.select(
@@ -33,8 +49,8 @@ def rotate(conversations: DataFrame) -> DataFrame:
     rows = turns.join(who, turns["conv_id"].eqNullSafe(who["of"])).drop("of")
     role = F.when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
     rows = rows.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")).otherwise(""))
-    head = F.concat(F.lit("<|im_start|>"), "role", F.when(F.col("role") == "user", F.concat(F.lit(" name="), "name")).otherwise(""), F.lit("\n"))
-    rows = rows.withColumn("segment", F.concat(head, "text", F.lit("<|im_end|>\n")))
+    head = F.concat(F.lit("<|im_start|>"), "role", F.when(F.col("role") == "user", F.concat(F.lit(" name="), shown(F.col("name")))).otherwise(""), F.lit("\n"))
+    rows = rows.withColumn("segment", F.concat(head, apart(F.col("text")), F.lit("<|im_end|>\n")))
     spoken, size = F.col("role") == "assistant", F.length("segment")
     rows = rows.withColumns({"n_chars": size.cast("long"), "mask_start": F.when(spoken, F.length(head)).otherwise(0).cast("long"), "mask_end": F.when(spoken, size - 1).otherwise(0).cast("long")})
     order = F.md5(F.concat_ws("\x1f", "speaker", "text").cast("binary"))
@@ -64,12 +80,12 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
-SQL = """
+SQL = r"""
 WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
 w AS (SELECT DISTINCT conv_id AS of, speaker AS perspective FROM t WHERE speaker <> 'system'),
 r AS (SELECT *, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role FROM t JOIN w ON conv_id IS NOT DISTINCT FROM of),
-s AS (SELECT *, CASE WHEN role = 'user' THEN speaker ELSE '' END AS name, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
-x AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment, md5(speaker || chr(31) || text) AS o FROM s)
+s AS (SELECT *, CASE WHEN role = 'user' THEN speaker ELSE '' END AS name, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(replace(replace(replace(speaker, '\', '\\'), chr(10), '\n'), chr(13), '\r'), '<(\\*)\|', '<\\\1|', 'g') ELSE '' END || chr(10) AS head FROM r),
+x AS (SELECT *, head || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) AS segment, md5(speaker || chr(31) || text) AS o FROM s)
 SELECT conv_id, perspective, turn, row_number() OVER p - 1 AS position, role, name, segment,
   CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END AS mask_start, CASE WHEN role = 'assistant' THEN length(segment) - 1 ELSE 0 END AS mask_end,
   CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, o, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start
