@@ -7,7 +7,8 @@ them. Of records with equal payloads one stays a response, the others become rev
 Scale: payloads never move between tasks unless revisits are many. A first pass yields a narrow table of digests; a
 sum by digest finds the repeated ones; the list of revisits joins the pages again (broadcast by Spark if its written
 size is small, else by a sort-merge join that adaptive execution may split). Archives are written by Spark's own
-committer, gzip files of at most RECORDS_PER_FILE records, so a lost task leaves nothing behind.
+committer, gzip files of at most ARCS_PER_FILE archives of ARC_BYTES each (and the longest page), so a reader holds a
+bounded number of bytes whatever a page's length, and a lost task leaves nothing behind.
 
 Defined results: null html is an empty payload; a null or empty url is recorded as about:blank; a null page_id is
 recorded without one and read back as null, and is the response of its payload only if no record with a page_id has
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import as_bytes, durable, fresh_path, table
 
-ARC_BYTES, RECORDS_PER_FILE = 4 << 20, 2000
+ARC_BYTES, ARCS_PER_FILE = 4 << 20, 8
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2000, 1, 1, tzinfo=timezone.utc)
@@ -153,6 +154,16 @@ def warc_record(r: dict, refers_to: tuple | None = None) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def warcinfo(arc: bytes) -> bytes:
+    """The record of an ARC archive's version block: its name, date and software."""
+    uri, ip, date = arc[: arc.index(b"\n")].decode("utf-8", "replace").split(" ")[:3]
+    day = datetime.strptime(date, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    block = b"software: loomgraph\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, b32(arc))}>", f"WARC-Date: {day}", f"WARC-Filename: {uri.removeprefix('filedesc://')}"]
+    lines += [f"WARC-Block-Digest: sha1:{b32(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def read_records(stream):
     """(headers by lower-case name, block) of each record of a WARC stream."""
     while line := stream.readline():
@@ -186,21 +197,16 @@ def digests_of(arcs: DataFrame) -> DataFrame:
 
 
 def warcs_of(arcs: DataFrame) -> DataFrame:
-    """value: WARC records of ARC archives whose column refers_to has, for each record, null or what it refers to.
-    The last byte of each record is left to the writer's line end."""
+    """value: the WARC records of each ARC archive whose column refers_to has, for each record, null or what it refers to,
+    after a warcinfo record for its version block. The last byte is left to the writer's line end."""
 
     def convert(it):
         for batch in it:
             for content, refers in zip(as_bytes(batch.column("content")), batch.column("refers_to").to_pylist()):
-                records = parse_arc(content)
-                out, size = [], 0
-                for fields_block, r in zip(records, refers):
-                    out.append(warc_record(describe(*fields_block), r and (r["page_id"], r["record_id"], r["uri"], r["date"]))[:-1])
-                    size += len(out[-1])
-                    if size >= ARC_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                        out, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                out = [warcinfo(content)]
+                for fields_block, r in zip(parse_arc(content), refers):
+                    out.append(warc_record(describe(*fields_block), r and (r["page_id"], r["record_id"], r["uri"], r["date"])))
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], names=["value"])
 
     return arcs.mapInArrow(convert, "value binary")
 
@@ -215,11 +221,11 @@ def convert_pages(pages: DataFrame, path: str) -> None:
     revisits = durable(revisits.select(F.col("page_id").alias("of"), F.col("sha1").alias("by"), "refers_to"), "revisits")
     sha1 = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     marked = pages.join(revisits, pages["page_id"].eqNullSafe(revisits["of"]) & (sha1 == revisits["by"]), "left").select("page_id", "url", "html", "refers_to")
-    warcs_of(arcs_of(marked, ["refers_to"])).select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    warcs_of(arcs_of(marked, ["refers_to"])).select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", ARCS_PER_FILE).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, uri, date of each record below path.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, uri, date of each record below path (but warcinfo).
 
     A response's payload is checked against its digest; a revisit's length is its HTTP head's."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "uri", "date"]
@@ -230,6 +236,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for content in as_bytes(batch.column("content")):
                 rows = []
                 for h, block in read_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))):
+                    if h["warc-type"] == "warcinfo":
+                        continue
                     head, payload = http_parts(block)
                     digest, kind = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]
                     if kind != "revisit" and b32(payload) != digest:
