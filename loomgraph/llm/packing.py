@@ -4,7 +4,9 @@ Documents become token pieces, and each piece is routed to the smallest context
 longest tier fills whole windows at once). Tiers are packed from the longest down: a piece opens a window of its
 tier, the gap takes the longest pieces of shorter tiers that fit, and is closed by cutting a piece. A piece whose gap
 nothing can fill gives up one window of the next shorter tier and goes on as a smaller piece. So every window is full,
-but for the last one of a partition, which is padded. Windows of a tier are dealt to step groups of equal tokens.
+but for the last one of a partition, which is padded. A step group is STEP_TOKENS tokens: the windows of a tier fill groups
+of their own, and what a partition has left of all tiers fills common ones from the longest window down, so only the
+last group of a partition is short. Groups are numbered across partitions.
 
 Scale: one pass over the documents, no shuffle; each task packs a pool of at most POOL_TOKENS tokens at a time and
 carries what is left into the next pool. sequence_id is made of the partition and a count within it, so a task that
@@ -107,7 +109,8 @@ class Packer:
         self.pools = defaultdict(list)  # length -> pieces
         self.lengths: list[int] = []  # sorted lengths that have pieces
         self.tokens = self.sequences = 0
-        self.made = dict.fromkeys(self.tiers, 0)
+        self.groups = 0
+        self.open: dict[int, list] = defaultdict(list)  # window size -> windows without a step group yet
         self.out: list[tuple] = []
 
     def add(self, doc, start: int, ids: np.ndarray) -> None:
@@ -133,13 +136,21 @@ class Packer:
         return piece
 
     def emit(self, pieces: list[tuple], size: int) -> None:
-        step = self.made[size] // max(1, self.step_tokens // size)
-        self.made[size] += 1
-        at = 0
-        for doc, start, ids in pieces:
-            self.out.append((doc, start, ids, self.sequences, at, size, step))
-            at += len(ids)
+        waiting = self.open[size]
+        waiting.append((self.sequences, pieces, size))
         self.sequences += 1
+        if len(waiting) * size >= self.step_tokens:
+            self.close(waiting)
+            waiting.clear()
+
+    def close(self, windows: list[tuple]) -> None:
+        """The windows become the next step group."""
+        for sequence, pieces, size in windows:
+            at = 0
+            for doc, start, ids in pieces:
+                self.out.append((doc, start, ids, sequence, at, size, self.groups))
+                at += len(ids)
+        self.groups += 1
 
     def pack(self, last: bool) -> None:
         """Fills windows while there is a tier's worth of tokens; the last call leaves none."""
@@ -166,7 +177,19 @@ class Packer:
             rest = []
             while self.lengths:
                 rest.append(self.take(self.lengths[-1]))
-            self.emit(rest, self.tiers[0])  # padded to the longest tier by its reader
+            n = sum(len(ids) for _, _, ids in rest)
+            self.emit(rest, n if n & (n - 1) == 0 else self.tiers[-1])  # its reader pads it to the longest tier
+        if last:
+            held, room = [], self.step_tokens
+            for window in sorted((w for ws in self.open.values() for w in ws), key=lambda w: -w[2]):
+                if held and window[2] > room:
+                    self.close(held)
+                    held, room = [], self.step_tokens
+                held.append(window)
+                room -= window[2]
+            if held:
+                self.close(held)
+            self.open.clear()
 
     def rows(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -174,8 +197,8 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, tiers=TIERS, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group (within
-    the tier and partition) and, if asked for, ids (little-endian unsigned 32-bit)."""
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the window's
+    padded size), step_group and, if asked for, ids (little-endian unsigned 32-bit)."""
     path = path or tokenizer_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long" + ", ids binary" * with_ids
@@ -188,7 +211,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers=TIERS, with_i
             rows = []
             for doc, start, ids, sequence, offset, tier, step in packer.rows():
                 whole = ids.astype("<u4").tobytes()
-                rows.append((doc[0], start, len(ids), zlib.crc32(whole), doc[1], base + sequence, offset, tier, step, *[whole] * with_ids))
+                rows.append((doc[0], start, len(ids), zlib.crc32(whole), doc[1], base + sequence, offset, tier, base + step, *[whole] * with_ids))
             for at in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096]), types)], names=names)
 
