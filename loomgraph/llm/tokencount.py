@@ -5,10 +5,17 @@ its leaf from the sums, re-encodes from a pre-token boundary shortly before the
 ones again, and updates the sums on the paths of the leaves it touched. The pre-token pattern looks ahead a bounded
 number of characters and never behind, so what lies beyond such a common boundary can't change.
 
-Scale: one pass over the documents, no shuffle; a task holds one document's tree at a time.
+Trees are tables: build_trees encodes documents once, edit_trees applies a table of edits to kept trees and returns the
+new trees, so that a later round of edits encodes what it touches alone. A tree is kept as its leaves' pre-token lengths
+and token counts beside the text; sums are added up again from them, nothing is encoded.
 
-Defined results: null and empty texts have no tokens; edits beyond the end of a text act at its end; repeated rows
-each get their own row; texts are encoded whole; an empty table gives no rows; other columns are ignored.
+Scale: building is one pass over the documents, no shuffle; edits join trees by doc_id. A task holds one document's tree
+at a time. A document's edits depend on each other, so they are one row; their number bounds it, not the corpus.
+
+Defined results: null and empty texts have no tokens; edits are applied in order of seq (null first), then start, end and
+text; a null start is 0, a null end the start, a null text empty; edits beyond the end of a text act at its end; edits
+of no document do nothing; repeated rows each get their own row and all edits of their doc_id (null is one doc_id);
+texts are encoded whole; empty tables give no rows; other columns are ignored.
 """
 
 import base64
@@ -17,6 +24,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm.common import as_bytes, settled, table, worker_cache
 
@@ -67,6 +75,21 @@ class CountTree:
         for k in range(self.base - 1, 0, -1):
             self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
 
+    @classmethod
+    def kept(cls, text: str, lengths: list[int], counts: list[int], counter: Counter) -> "CountTree":
+        """The tree of a kept row."""
+        tree, tokens, at = cls.__new__(cls), [], 0
+        tree.counter, tree.encoded = counter, 0
+        for n in lengths:
+            tokens.append(text[at : at + n])
+            at += n
+        tree.build(tokens, counts)
+        return tree
+
+    def row(self) -> tuple[str, list[int], list[int]]:
+        """text, lengths, counts: all that kept needs."""
+        return self.text(), [len(t) for leaf, _ in self.leaves for t in leaf], [c for _, leaf in self.leaves for c in leaf]
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -143,32 +166,87 @@ class CountTree:
         return "".join(t for leaf, _ in self.leaves for t in leaf)
 
 
+#: The edits that the query applies to a text, one after the other: place as a fraction, characters cut, new text.
+STATED = ((1, 4, 5, ""), (1, 2, 0, " (see the note) "), (3, 4, 3, "42,"))
+EDIT = "array<struct<seq:bigint,start:bigint,end:bigint,text:string>>"
+
+
 def stated_edits(n: int) -> list[tuple[int, int, str]]:
-    """The edits that the query applies to a text of n characters, one after the other."""
-    return [(n // 4, n // 4 + 5, ""), (n // 2, n // 2, " (see the note) "), (3 * n // 4, 3 * n // 4 + 3, "42,")]
+    """start, end and text of the stated edits of a text of n characters."""
+    return [(a * n // b, a * n // b + cut, new) for a, b, cut, new in STATED]
+
+
+def stated_column(n):
+    """stated_edits as a column."""
+    at = [F.floor(n * a / b).cast("long") for a, b, _, _ in STATED]
+    return F.array(*[F.struct(F.lit(i).alias("seq"), x.alias("start"), (x + cut).alias("end"), F.lit(new).alias("text")) for i, (x, (_, _, cut, new)) in enumerate(zip(at, STATED))]).cast(EDIT)
+
 
+def tree_schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, lengths array<int>, counts array<int>"
 
-def count_tokens(docs: DataFrame, path: str | None = None, pattern: str | None = None, edits=stated_edits) -> DataFrame:
-    """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_encoded_chars (by the edits) for every row."""
+
+TREE_TYPES = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+
+def build_trees(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, text, lengths and counts (of each pre-token) for every row of docs."""
     if not path:
         path, pattern = vocabulary()
-    names = ["doc_id", "n_tokens", "n_pretokens", "n_edits", "n_tokens_after", "n_encoded_chars"]
 
-    def count(it):
+    def build(it):
+        counter = worker_cache(("counter", path), lambda: Counter(path, pattern))
+        for batch in it:
+            rows = [CountTree(text.decode("utf-8", "replace"), counter).row() for text in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns(rows, TREE_TYPES)], names=["doc_id", "text", "lengths", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(settled(build), tree_schema(docs))
+
+
+def columns(rows: list[tuple], types: list) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)]
+
+
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """trees with the column edits: all edits (doc_id, seq, start, end, text) of the tree's document in order."""
+    one = F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")
+    todo = edits.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(one)).alias("edits"))
+    return trees.select("doc_id", "text", "lengths", "counts").join(todo, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def apply_edits(trees: DataFrame, path: str | None = None, pattern: str | None = None, keep: bool = True) -> DataFrame:
+    """The trees after their column edits, as doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_encoded_chars (by the
+    edits) and, if they are to be kept, text, lengths and counts."""
+    if not path:
+        path, pattern = vocabulary()
+    told = ["n_tokens", "n_pretokens", "n_edits", "n_tokens_after", "n_encoded_chars"]
+    types = [pa.int64()] * len(told) + TREE_TYPES * keep
+
+    def edit(it):
         counter = worker_cache(("counter", path), lambda: Counter(path, pattern))
         for batch in it:
             rows = []
-            for text in as_bytes(batch.column("text")):
-                tree = CountTree(text.decode("utf-8", "replace"), counter)
+            for text, lengths, counts, todo in zip(as_bytes(batch.column("text")), batch.column("lengths"), batch.column("counts"), batch.column("edits").to_pylist()):
+                tree = CountTree.kept(text.decode("utf-8", "replace"), lengths.as_py() or [], counts.as_py() or [], counter)
                 before, pretokens = tree.total, sum(len(t) for t, _ in tree.leaves)
-                todo = edits(tree.chars[1])
-                for e in todo:
-                    tree.edit(*e)
-                rows.append((before, pretokens, len(todo), tree.total, tree.encoded))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in zip(*rows)]] if rows else [batch.column("doc_id"), *[pa.array([], pa.int64())] * 5], names=names)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(settled(count), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+                for e in todo or []:
+                    start = max(0, e["start"] or 0)
+                    tree.edit(start, start if e["end"] is None else e["end"], e["text"] or "")
+                rows.append((before, pretokens, len(todo or []), tree.total, tree.encoded, *(tree.row() if keep else ())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns(rows, types)], names=["doc_id", *told, *["text", "lengths", "counts"] * keep])
+
+    head, tail = tree_schema(trees).split(", ", 1)
+    return trees.select("doc_id", "text", "lengths", "counts", "edits").mapInArrow(settled(edit), ", ".join([head, *[f"{n} long" for n in told], *[tail] * keep]))
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Kept trees after a table of edits (doc_id, seq, start, end, text), see apply_edits."""
+    return apply_edits(with_edits(trees, edits), path, pattern)
+
+
+def count_tokens(docs: DataFrame, path: str | None = None, pattern: str | None = None, edits=stated_column) -> DataFrame:
+    """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_encoded_chars (by the edits, a column of the text's length) for every row."""
+    return apply_edits(build_trees(docs, path, pattern).withColumn("edits", edits(F.length("text"))), path, pattern, keep=False)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
