@@ -19,7 +19,9 @@ texts are encoded whole; empty tables give no rows; other columns are ignored.
 """
 
 import base64
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -78,12 +80,10 @@ class CountTree:
     @classmethod
     def kept(cls, text: str, lengths: list[int], counts: list[int], counter: Counter) -> "CountTree":
         """The tree of a kept row."""
-        tree, tokens, at = cls.__new__(cls), [], 0
+        tree = cls.__new__(cls)
         tree.counter, tree.encoded = counter, 0
-        for n in lengths:
-            tokens.append(text[at : at + n])
-            at += n
-        tree.build(tokens, counts)
+        ends = list(accumulate(lengths, initial=0))
+        tree.build([text[a:z] for a, z in zip(ends, ends[1:])], counts)
         return tree
 
     def row(self) -> tuple[str, list[int], list[int]]:
@@ -197,8 +197,15 @@ def build_trees(docs: DataFrame, path: str | None = None, pattern: str | None =
     def build(it):
         counter = worker_cache(("counter", path), lambda: Counter(path, pattern))
         for batch in it:
-            rows = [CountTree(text.decode("utf-8", "replace"), counter).row() for text in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns(rows, TREE_TYPES)], names=["doc_id", "text", "lengths", "counts"])
+            lengths, counts, sizes, texts = [], [], [0], []
+            for text in as_bytes(batch.column("text")):
+                texts.append(text.decode("utf-8", "replace"))
+                tokens = counter.pattern.findall(texts[-1])
+                lengths.append(np.fromiter(map(len, tokens), np.int32, len(tokens)))
+                counts.append(np.array(counter.counts(tokens), np.int32))
+                sizes.append(sizes[-1] + len(tokens))
+            lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int32())) for x in (lengths, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), *lists], names=["doc_id", "text", "lengths", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(settled(build), tree_schema(docs))
 
@@ -207,6 +214,12 @@ def columns(rows: list[tuple], types: list) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)]
 
 
+def lists_of(column):
+    """The rows of an Arrow column of lists, null as []."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return (values[a:z].tolist() for a, z in zip(ends, ends[1:]))
+
+
 def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     """trees with the column edits: all edits (doc_id, seq, start, end, text) of the tree's document in order."""
     one = F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")
@@ -226,8 +239,8 @@ def apply_edits(trees: DataFrame, path: str | None = None, pattern: str | None =
         counter = worker_cache(("counter", path), lambda: Counter(path, pattern))
         for batch in it:
             rows = []
-            for text, lengths, counts, todo in zip(as_bytes(batch.column("text")), batch.column("lengths"), batch.column("counts"), batch.column("edits").to_pylist()):
-                tree = CountTree.kept(text.decode("utf-8", "replace"), lengths.as_py() or [], counts.as_py() or [], counter)
+            for text, lengths, counts, todo in zip(as_bytes(batch.column("text")), lists_of(batch.column("lengths")), lists_of(batch.column("counts")), batch.column("edits").to_pylist()):
+                tree = CountTree.kept(text.decode("utf-8", "replace"), lengths, counts, counter)
                 before, pretokens = tree.total, sum(len(t) for t, _ in tree.leaves)
                 for e in todo or []:
                     start = max(0, e["start"] or 0)
