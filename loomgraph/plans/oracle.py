@@ -112,10 +112,10 @@ o AS (SELECT * FROM a WHERE (SELECT count(*) FROM a) > 10 UNION ALL SELECT * FRO
 
 PAIRS = "pr AS (SELECT range AS src, range + (SELECT np FROM p) AS dst, 7.0::DOUBLE AS w FROM range((SELECT least(np, nc) FROM p, c))), "
 TRANS = f"SELECT src, dst, w, {num('w / sum(w) OVER (PARTITION BY src)')} AS p FROM"
-WANTED = """wi AS (SELECT p_name || ' #' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM part WHERE p_partkey % 7 = 0), """
+WANTED = """wi AS (SELECT p_name || ' #' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM part), """
 LINES = """ln AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN 'analyze' WHEN event_type = 'view' THEN 'adjust' ELSE 'other' END AS type, 'u' || user_id AS userKey, event_id AS first_id, value AS c,
   event_id % 17 = 0 AS blank, event_id % 19 = 0 AS bad FROM events), """
-ROWS = "rr AS (SELECT p_partkey + 1 AS rk, p_name || ' *#' || p_partkey AS name, p_size / 64.0 - 0.25 AS val FROM part WHERE p_partkey < 40), "
+ROWS = "rr AS (SELECT p_partkey + 1 AS rk, p_name || ' *#' || p_partkey AS name, p_size / 64.0 - 0.25 AS val FROM part), "
 FOUR = "CASE WHEN {x} < 0 AND floor(abs({x}) * 10000 + 0.5) > 0 THEN '-' ELSE '' END || CAST(CAST(floor(floor(abs({x}) * 10000 + 0.5) / 10000) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(CAST(floor(abs({x}) * 10000 + 0.5) AS BIGINT) % 10000 AS VARCHAR), 4, '0')"
 ESCAPED = r"regexp_replace(name, '([\\`*_{}\[\]()#+\-.!|>])', '\\\1', 'g')"
 PUSHED = "r > deg * "
@@ -181,8 +181,8 @@ ORACLE = {
     "suggest_substring": suggest("g #1", "name"),
     "suggest_ja": suggest("brand#1", "coalesce(title_ja, name)"),
     "name_lookup": "WITH " + closed(SHOP + NODES + SHARE + CATALOG + WANTED) + "SELECT max(id) AS node, any_value(w) AS w FROM wi JOIN names ON names.name = wi.name GROUP BY wi.name",
-    "known_names": "WITH " + closed(WANTED) + "SELECT name FROM wi UNION ALL SELECT p_name || ' #' || p_partkey FROM part WHERE p_partkey % 14 = 0",
-    "metadata_join": "WITH " + closed(SHOP + NODES + SHARE + CATALOG) + "SELECT CAST(node + 1 AS INTEGER) AS rk, node, 0.5::DOUBLE AS val, coalesce(name, CAST(node AS VARCHAR)) AS name, title_ja, ranking, year, coalesce(name, CAST(node AS VARCHAR)) || CASE WHEN coalesce(year, 0) <> 0 THEN ' (' || year || ')' ELSE '' END AS label FROM v LEFT JOIN names ON id = node WHERE node % 3 = 0",
+    "known_names": "WITH " + closed(WANTED) + "SELECT name FROM wi UNION ALL SELECT p_name || ' #' || p_partkey FROM part WHERE p_partkey % 2 = 0",
+    "metadata_join": "WITH " + closed(SHOP + NODES + SHARE + CATALOG) + "SELECT CAST(node + 1 AS INTEGER) AS rk, node, 0.5::DOUBLE AS val, coalesce(name, CAST(node AS VARCHAR)) AS name, title_ja, ranking, year, coalesce(name, CAST(node AS VARCHAR)) || CASE WHEN coalesce(year, 0) <> 0 THEN ' (' || year || ')' ELSE '' END AS label FROM v LEFT JOIN names ON id = node",
     "display_label": "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 1) OR p_size = 0 THEN p_name ELSE p_name || ' (' || p_size || ')' END AS label FROM part",
     "explain_offline": "WITH " + closed(ROWS) + f"SELECT '## Best matches' || chr(10) || (SELECT string_agg(rk || '. ' || {ESCAPED} || ': ' || {FOUR.format(x='val')}, chr(10) ORDER BY rk) FROM rr WHERE rk <= 5) || chr(10) || chr(10) || 'Mean score: ' || {FOUR.format(x='(SELECT avg(val) FROM rr)')} || chr(10) || 'Strongest: ' || (SELECT min_by({ESCAPED}, rk) FROM rr) AS text",
     "prompt_text": "WITH " + closed(ROWS) + f"SELECT '好みの作品と提案された作品の共通点を日本語で説明してください。' || chr(10) || '好み: ' || (SELECT string_agg(name, ', ' ORDER BY rk) FROM rr WHERE rk <= 3) || chr(10) || '提案:' || chr(10) || (SELECT string_agg(name || ': ' || {FOUR.format(x='val')}, chr(10) ORDER BY rk) FROM rr WHERE rk BETWEEN 4 AND 9) AS text",

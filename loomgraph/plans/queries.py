@@ -349,8 +349,8 @@ def suggest_ja(spark, d):  # A3
 
 
 def wanted_items(spark, d):
-    p = fx.read(spark, d, "part").where("p_partkey % 7 = 0").select(F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") % 2 == 0, 3.0).alias("weight"), F.col("p_partkey").cast("int").alias("seq"))
-    return p.unionByName(p.where("seq % 14 = 0").withColumns({"seq": F.col("seq") + 100000, "weight": F.lit(9.0)})).unionByName(spark.createDataFrame([("no such name", 1.0, 5)], "name string, weight double, seq int"))
+    p = fx.read(spark, d, "part").select(F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") % 2 == 0, 3.0).alias("weight"), F.col("p_partkey").cast("int").alias("seq"))
+    return p.unionByName(p.where("seq % 2 = 0").withColumns({"seq": F.col("seq") + 100000, "weight": F.lit(9.0)})).unionByName(spark.createDataFrame([("no such name", 1.0, 5)], "name string, weight double, seq int"))
 
 
 def name_lookup(spark, d):  # A5 A16
@@ -363,7 +363,7 @@ def known_names(spark, d):  # A15
 
 def metadata_join(spark, d):  # A7 A19 S13
     g = fx.shop(spark, d)
-    ids = spark.range(0, g.spec.n, 3).select((F.col("id") + 1).cast("int").alias("rk"), F.col("id").alias("node"), F.lit(0.5).alias("val"))
+    ids = spark.range(g.spec.n).select((F.col("id") + 1).cast("int").alias("rk"), F.col("id").alias("node"), F.lit(0.5).alias("val"))
     return catalog.with_metadata(ids, fx.nodes(spark, d, g))
 
 
@@ -376,7 +376,7 @@ def display_label(spark, d):  # A19
 
 
 def ranked_rows(spark, d):
-    return fx.read(spark, d, "part").where("p_partkey < 40").select((F.col("p_partkey") + 1).alias("rk"), F.concat(F.col("p_name"), F.lit(" *#"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") / 64.0 - 0.25).alias("val"))
+    return fx.read(spark, d, "part").select((F.col("p_partkey") + 1).alias("rk"), F.concat(F.col("p_name"), F.lit(" *#"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") / 64.0 - 0.25).alias("val"))
 
 
 def explain_offline(spark, d):  # A12
