@@ -619,3 +619,17 @@ def test_joined_ends_and_common_windows(spark):
         assert len(got[2]["items"]) == 38 and got[2]["spans"][0]["s"] == 1
         left = {r["doc_id"]: r["text"].split() for r in decontaminate.remove_contamination(docs, bench, block_windows=block).collect()}
         assert left == {1: "x y z q r s t u v w".split()}
+
+
+def test_quality_filter_stays_above_the_factor(spark):
+    """A filter moved below the factor's columns would write each of them out in full, beyond 64 KB of code."""
+    words = ["plain words of a clean text that goes on for a while " * 3, "another clean text with words of its own kind in it " * 2]
+    rows = [(i, f"{words[i % 2]} number {i}", "en", "web", -i) for i in range(40)] + [(None, None, None, None, None), (7, "", "en", "web", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, at_ long")
+    out = quality.keep_quality(docs)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    counts = quality.outliers(quality.counted(docs.drop("at_")).persist())
+    want = sorted(r["doc_id"] for r in counts.where("NOT base_failed").select("doc_id", "kept").collect() if r["kept"])
+    got = out.collect()
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in got) == want
+    assert all(r["at_"] == -r["doc_id"] for r in got)  # a column of the same name as the one that holds the filter passes through
