@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results, each as the stage's operator states them: null and empty texts fail the quality rules and go there;
+later stages, given such rows, take them as copies of one another, without words, hits and secrets, and pack the closing
+id alone. Texts of any length are judged, compared, scanned and packed whole. Repeated rows are judged once each, and one
+row of a class stays; ties never change a class. An empty table gives no rows in any stage; an empty benchmark leaves
+every document as it is. Other columns pass through, whatever their names.
 """
 
 from pyspark.sql import DataFrame, SparkSession
