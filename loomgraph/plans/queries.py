@@ -18,7 +18,8 @@ K, SEED = 10, 1
 
 
 def c(x, name="val", s=1e12):
-    return (F.floor(F.col(x) * s + 0.5) / s).alias(name)
+    y = F.col(x) * s + 0.5
+    return (F.when(F.abs(y) < 2.0**53, F.floor(y)).otherwise(y) / s).alias(name)  # floor gives longs; larger doubles are whole, and infinity stays
 
 
 def pairs(spark, d):
